@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, fingerprint, mixing, ngram_join, toxicity
+from . import bpe, chat_format, fingerprint, html_text, mixing, ngram_join, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_html_text": html_text.op6_html_text,
     "op7_mixing": mixing.op7_mixing,
     "op9_fingerprints": fingerprint.op9_fingerprints,
     "op10_chat_format": chat_format.op10_chat_format,
