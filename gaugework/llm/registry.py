@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, fingerprint, html_text, mixing, near_vectors, ngram_join, toxicity
+from . import bpe, chat_format, fingerprint, html_text, line_dedup, mixing, near_vectors, ngram_join, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_near_vectors": near_vectors.op2_near_vectors,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_html_text": html_text.op6_html_text,
