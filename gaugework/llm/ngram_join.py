@@ -131,26 +131,24 @@ def _sizes(documents: DataFrame, words: int) -> DataFrame:
 
 
 def _index(documents: DataFrame, words: int, plan: list[tuple[int, int, int, int]], percent: int) -> DataFrame:
-    """doc_id and its keys in its own band and in the one below, where smaller partners stand. plan: (high, exact, double, spare) by band."""
+    """doc_id and sigs, its keys in its own band and in the one below, where smaller partners stand. plan: (high, exact, double, spare) by band."""
     highs = np.array([p[0] for p in plan], dtype=np.int64)
 
     def run(batches):
         for batch in batches:
-            ids, keys = [], []
-            for k, text in _texts(batch):
+            ends, keys = [0], [np.zeros(0, dtype=np.uint64)]
+            for _, text in _texts(batch):
                 x = shingle_set(text, words)
-                if not len(x):
-                    continue
                 home = int(np.searchsorted(highs, len(x)))
-                for band in (home, home - 1):
+                for band in (home, home - 1) if len(x) and home < len(plan) else ():
                     if band >= 0 and 100 * plan[band][0] >= percent * len(x):
-                        found = signatures(x, band, *plan[band][1:])
-                        keys.append(found)
-                        ids.append(np.full(len(found), k, dtype=np.int64))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(_i64(np.concatenate(keys))), batch.column("doc_id").take(pa.array(np.concatenate(ids)))], ["sig", "id"])
+                        keys.append(signatures(x, band, *plan[band][1:]))
+                        ends[-1] += len(keys[-1])
+                ends.append(ends[-1])
+            lists = pa.ListArray.from_arrays(pa.array([0, *ends[:-1]], pa.int32()), pa.array(_i64(np.concatenate(keys))))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "sigs"])
 
-    return documents.mapInArrow(run, "sig long, id long")
+    return documents.mapInArrow(run, "doc_id long, sigs array<long>")
 
 
 def _chosen(documents: DataFrame, ids: DataFrame) -> DataFrame:
@@ -265,7 +263,9 @@ def jaccard_join(documents: DataFrame, words: int = 5, percent: int = 80) -> Dat
         near = [counts[x] for x in (k, k + 1) if x in counts]
         errors = most_errors(percent, high)
         plan.append((high, *allocate(errors, (low + high) / 2, sum(x[0] for x in near) or 1)))
-    index = _index(rows.where("doc_id is not null").join(mine.select("doc_id"), "doc_id", "left_semi"), words, plan, percent)
+    # Joined after the keys are made, which are smaller than the texts, and by shuffle at every size.
+    index = _index(rows.where("doc_id is not null"), words, plan, percent).join(mine.select("doc_id").hint("merge"), "doc_id", "left_semi")
+    index = index.select(F.col("doc_id").alias("id"), F.explode("sigs").alias("sig"))
     sig = Window.partitionBy("sig")
     groups = index.select("sig", "id", F.min("id").over(sig).alias("least"), F.max("id").over(sig).alias("most"), F.bit_xor(F.xxhash64("id")).over(sig).alias("f1"), F.bit_xor(F.xxhash64("id", F.lit(1))).over(sig).alias("f2"))
     groups = stage(groups.where("least < most").select("f1", "f2", "id", "least").distinct(), "groups")
