@@ -252,7 +252,7 @@ def as_dict(shape: Shape) -> dict:
 def canonical(shape: Shape) -> bytes:
     """The bytes a document is identified by: sorted keys, floats of six digits, no digest and no time of making."""
     raw = _rounded(as_dict(shape))
-    raw["meta"] = {k: v for k, v in raw.get("meta", {}).items() if k not in ("digest", "generated_at")}
+    raw["meta"] = {"version": FORMAT_VERSION} | {k: v for k, v in raw.get("meta", {}).items() if k not in ("digest", "generated_at")}
     return yaml.safe_dump(raw, sort_keys=True, indent=2, allow_unicode=True, width=10**6).encode()
 
 
