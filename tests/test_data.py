@@ -248,3 +248,22 @@ def test_command_line(spark, tmp_path, capsys):
     change.write_text("ALTER TABLE region DROP COLUMN nope;")
     assert cli.main(["plan", str(change), "--against", "/root/testdata/sf0.001"]) == 1
     assert cli.main(["init", "--out", str(tmp_path / "c.json")]) == 0
+
+
+def test_disposable_database(spark):
+    from gaugework.operators.targets import Ephemeral
+
+    shape = synthetic()
+    with Ephemeral(spark) as target:
+        assert target.load(shape, seed=7, scale=0.01) == {"events": 20, "orders": 50, "users": 10}
+        assert engine.constraint_report(shape, target.tables(shape)) == []
+        name = target.name
+    assert not spark.catalog.databaseExists(name)
+
+
+def test_splitter_in_sql(spark):
+    from gaugework.plans import sql_functions
+
+    sql_functions.register(spark)
+    rows = spark.sql("SELECT k, line, kind, `table` FROM split_statements('DROP TABLE a;\nALTER TABLE b DROP COLUMN c, ADD COLUMN d int') ORDER BY k, kind").collect()
+    assert [tuple(r) for r in rows] == [(0, 1, "drop_table", "a"), (1, 2, "add_column", "b"), (1, 2, "drop_column", "b")]
