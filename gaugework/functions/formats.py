@@ -32,12 +32,15 @@ WEAK = {
 MAJORITY, PROSE, ENUM_LIKE = 0.95, 0.5, 32
 
 
-def format_aggregates(value: Column, prefix: str) -> list[Column]:
-    """Shares of non-empty values that match each class, for one aggregate over the column; null if there are none."""
+def format_aggregates(value: Column, prefix: str, weight: Column | None = None) -> list[Column]:
+    """Shares of non-empty values that match each class, for one aggregate over the column; null if there are none.
+
+    With a weight, a row stands for so many values.
+    """
     full = F.when(value != "", value)
-    shares = {**STRONG, **WEAK}
-    out = [F.avg(full.rlike(p).cast("int")).alias(f"{prefix}{name}") for name, p in shares.items()]
-    return [*out, F.avg((full.contains(" ") & full.rlike(r"\p{L}")).cast("int")).alias(f"{prefix}prose")]
+    share = lambda test: F.avg(test.cast("int")) if weight is None else F.sum(test.cast("int") * weight) / F.sum(F.when(full.isNotNull(), weight))
+    out = [share(full.rlike(p)).alias(f"{prefix}{name}") for name, p in {**STRONG, **WEAK}.items()]
+    return [*out, share(full.contains(" ") & full.rlike(r"\p{L}")).alias(f"{prefix}prose")]
 
 
 def classify(shares: dict[str, float | None], distinct: int | None) -> str:

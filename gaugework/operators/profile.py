@@ -13,7 +13,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column as Expression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,13 +72,27 @@ def cheap_aggregates(df: DataFrame, kinds: dict[str, str]) -> list[Expression]:
     return out
 
 
-def value_sample(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, value, n: at most VALUE_ROWS non-null values of each text column, chosen by a hash of the row."""
-    rows = df.select(*(c(x) for x in columns)).withColumn("__order", row_hash(df.select(*(c(x) for x in columns))))
+def value_counts(df: DataFrame, few: list[str], many: list[str], rows: int) -> DataFrame:
+    """column, value, n of text columns: all values of columns that have few, VALUE_ROWS values of the others.
+
+    The first are counted in one scan, with no more rows than there are values leaving each task. The
+    others are sampled by a hash of their own value's row, in another scan.
+    """
     out = None
-    for x in columns:
-        part = rows.where(c(x).isNotNull()).orderBy("__order", c(x)).limit(VALUE_ROWS).select(F.lit(x).alias("column"), c(x).cast("string").alias("value"))
-        out = part if out is None else out.unionByName(part)
+
+    def unpivoted(d, names, *extra):
+        cells = F.array(*(F.struct(F.lit(x).alias("column"), c(x).cast("string").alias("value")) for x in names))
+        return d.select(*extra, F.explode(cells).alias("v")).select(*extra, "v.column", "v.value").where("value is not null")
+
+    if few:
+        out = unpivoted(df, few).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    if many:
+        part = df.select(*(c(x).cast("string").alias(x) for x in many))
+        part = hash_sample(part, min(1.0, 8 * VALUE_ROWS / max(1, rows)))
+        each = unpivoted(part.withColumn("__order", row_hash(part)), many, "__order")
+        place = F.row_number().over(Window.partitionBy("column").orderBy("__order", "value"))
+        each = each.withColumn("place", place).where(F.col("place") <= VALUE_ROWS).select("column", "value", F.lit(1).cast("long").alias("n"))
+        out = each if out is None else out.unionByName(each)
     return out
 
 
@@ -177,14 +191,13 @@ def profile_table(source: Source, exact: bool = True, ceiling: int = CEILING, so
     shares: dict[str, dict] = {}
     sets: dict[str, list[tuple[str, int]]] = {}
     if texts:
-        values = value_sample(read, texts)
-        found = values.groupBy("column").agg(F.count_distinct("value").alias("n"), *format_aggregates(F.col("value"), "")).collect()
-        shares = {r["column"]: r.asDict() for r in found}
-        small = [x for x, r in shares.items() if r["n"] <= SET_SIZE]
-        if small:
-            counted = values.where(F.col("column").isin(small)).groupBy("column", "value").count().collect()
-            for r in sorted(counted, key=lambda r: (r["column"], r["value"])):
-                sets.setdefault(r["column"], []).append((r["value"], r["count"]))
+        few = [x for k, x in enumerate(names) if x in texts and (got[f"c{k}_distinct"] or 0) <= 2 * SET_SIZE]
+        values = value_counts(read, few, [x for x in texts if x not in few], seen)
+        shares = {r["column"]: r.asDict() for r in values.groupBy("column").agg(*format_aggregates(F.col("value"), "", F.col("n"))).collect()}
+        if few:
+            for r in sorted(values.where(F.col("column").isin(few)).collect(), key=lambda r: (r["column"], r["value"])):
+                sets.setdefault(r["column"], []).append((r["value"], r["n"]))
+            sets = {x: s for x, s in sets.items() if len(s) <= SET_SIZE}
     repeated = witnessed(df, names)
     bounds = equi_depth(read, [x for x in names if kinds[x] == "numeric"], seen)
     escalated = False

@@ -218,9 +218,8 @@ def histogram_skew(spark, sf_dir):
 
 @query("SELECT event_type AS value, count(*)::BIGINT AS occurrences, round(count(*) / (SELECT count(*) FROM events)::DOUBLE, 6) AS frequency FROM events GROUP BY event_type")
 def value_set(spark, sf_dir):
-    counts = read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("value")).agg(F.count(F.lit(1)).alias("occurrences"))
-    total = counts.agg(F.sum("occurrences").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).select("value", "occurrences", F.round(F.col("occurrences") / F.col("total"), 6).alias("frequency"))  # one row on the right
+    df = read(spark, sf_dir, "events")
+    return df.groupBy(F.col("event_type").alias("value")).agg(F.count(F.lit(1)).alias("occurrences"), F.round(F.count(F.lit(1)) / F.lit(df.count()), 6).alias("frequency"))
 
 
 @query(" UNION ALL ".join(f"SELECT '{t}.{c}' AS column_name, count(*) <= 50 AND bool_and(n >= 20) AS allowed FROM (SELECT count(*) AS n FROM {t} GROUP BY {c}) g" for t, c in (("events", "event_type"), ("customer", "c_mktsegment"), ("part", "p_name"), ("documents", "source"))))
@@ -291,11 +290,10 @@ def hash_sample_rows(spark, sf_dir):
     out = []
     for t in ("part", "lineitem"):
         df = read(spark, sf_dir, t)
-        mark = lambda d: d.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("m"))
-        one, two, all_ = mark(hash_sample(df, 0.1)), mark(hash_sample(df.repartition(7), 0.1)), df.agg(F.count(F.lit(1)).alias("rows"))
-        both = one.crossJoin(F.broadcast(two.withColumnsRenamed({"n": "n2", "m": "m2"}))).crossJoin(F.broadcast(all_))  # one row each
-        out.append(both.select(F.lit(t).alias("table_name"), (F.abs(F.col("n") - F.col("rows") * 0.1) <= 5 * F.sqrt(F.col("rows") * 0.09)).alias("share_close"), ((F.col("n") == F.col("n2")) & (F.col("m") == F.col("m2"))).alias("same_when_dealt_anew")))
-    return union(out)
+        mark = lambda d: tuple(d.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*d.columns).cast("decimal(38,0)"))).first())
+        rows, one, two = df.count(), mark(hash_sample(df, 0.1)), mark(hash_sample(df.repartition(7), 0.1))
+        out.append((t, abs(one[0] - rows * 0.1) <= 5 * (rows * 0.09) ** 0.5, one == two))
+    return spark.createDataFrame(out, "table_name string, share_close boolean, same_when_dealt_anew boolean")
 
 
 # Privacy
