@@ -252,6 +252,7 @@ def profile_table(source: Source, exact: bool = True, ceiling: int = CEILING, so
         table.constraints.append(Constraint("primary_key", f"{source.name}_pkey", list(source.primary_key)))
     table.constraints += [Constraint("unique", f"{source.name}_{'_'.join(u)}_key", list(u)) for u in source.unique]
     table.constraints += [Constraint("check", n, [], e) for n, e in source.checks]
+    table.indexes = list(source.indexes)
     for column, parent, parent_key in source.references:
         reference = Reference(column, f"{parent}.{parent_key}", f"{source.name}_{column}_fkey")
         reference.fanout = fanout(df, column, share)
@@ -286,12 +287,13 @@ def pull(spark: SparkSession, sources: list[Source], engine: dict, exact: bool =
                 table, warnings, escalated = Table(rows=Fact(0, "absent")), [f"{source.name}: the profile ran out of time, its facts are left out"], False
                 table.columns = {x: Column(source.type_of(x), source.df.schema[x].nullable) for x in source.df.columns}
             report.shape.tables[source.name] = table
+            # Only what columns name, directly or through a domain.
+            named = {c.type for c in table.columns.values()}
+            named |= {t.base for n, t in source.types.items() if n in named and t.base}
+            report.shape.types |= {n: t for n, t in source.types.items() if n in named}
+            report.shape.extensions += [e for e in source.extensions if e not in report.shape.extensions]
             report.warnings += warnings
             if escalated and not exact:
                 report.shape.meta["mode"] = "targeted"
     return report
 
-
-def decode_distinct(n_distinct: float, rows: int) -> int | None:
-    """A planner's figure: positive is a count, negative a share of the rows, zero unknown."""
-    return None if n_distinct == 0 else round(n_distinct) if n_distinct > 0 else round(-n_distinct * rows)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.types import declared_of
-from ..model import ShapeError
+from ..model import Fact, Index, ShapeError, UserType
 
 # Rows of a sample, the least share it may have in percent, and its seed.
 SAMPLE_ROWS, SAMPLE_FLOOR, SAMPLE_SEED = 20_000, 0.01, 42
@@ -29,6 +29,9 @@ class Source:
     partition_columns: list[str] = field(default_factory=list)
     declared_types: dict[str, str] = field(default_factory=dict)
     redact: dict[str, list[str]] = field(default_factory=dict)
+    indexes: list[Index] = field(default_factory=list)
+    types: dict[str, UserType] = field(default_factory=dict)  # enums and domains that declared types may name
+    extensions: list[str] = field(default_factory=list)
 
     def type_of(self, column: str) -> str:
         return self.declared_types.get(column) or declared_of(self.df.schema[column].dataType)
@@ -99,3 +102,28 @@ def hash_sample(df: DataFrame, share: float, key: Column | None = None) -> DataF
 def footer_rows(spark: SparkSession, df: DataFrame) -> int:
     """The exact number of rows; on Parquet the count comes from the footers, no column is read."""
     return df.count()
+
+
+def decode_distinct(n_distinct: float, rows: int) -> int | None:
+    """A planner's figure: positive is a count, negative a share of the rows, zero unknown."""
+    return None if n_distinct == 0 else round(n_distinct) if n_distinct > 0 else round(-n_distinct * rows)
+
+
+def planner_stats(spark: SparkSession, table: str) -> tuple[Fact | None, dict[str, dict[str, Fact]]]:
+    """(rows, {column: {null_fraction, distinct}}) as ANALYZE TABLE left them in the catalog, read without touching rows.
+
+    They may be out of date, so they count as estimated; what was never analysed is left out.
+    """
+    found = next((r[1] for r in spark.sql(f"DESCRIBE EXTENDED {table}").collect() if r[0] == "Statistics"), "")
+    rows = next((int(part.split()[0]) for part in found.split(",") if part.strip().endswith("rows")), None)
+    out: dict[str, dict[str, Fact]] = {}
+    for name in spark.table(table).columns:
+        stats = {r[0]: r[1] for r in spark.sql(f"DESCRIBE EXTENDED {table} `{name}`").collect()}
+        facts = {}
+        if rows and (stats.get("num_nulls") or "NULL") != "NULL":
+            facts["null_fraction"] = Fact(round(int(stats["num_nulls"]) / rows, 6))
+        if (stats.get("distinct_count") or "NULL") != "NULL":
+            facts["distinct"] = Fact(decode_distinct(float(stats["distinct_count"]), rows or 0))
+        if facts:
+            out[name] = facts
+    return (Fact(rows) if rows is not None else None), out

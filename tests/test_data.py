@@ -63,7 +63,7 @@ def test_references(spark):
 
 def test_escalation_and_decoding():
     assert profile.must_escalate(Fact(96), 100, False) and not profile.must_escalate(Fact(95), 100, False) and not profile.must_escalate(Fact(96), 100, True)
-    assert [profile.decode_distinct(x, 1000) for x in (50, -0.5, 0)] == [50, 500, None]
+    assert [tables.decode_distinct(x, 1000) for x in (50, -0.5, 0)] == [50, 500, None]
     assert profile.is_skewed([0, 1, 2, 3, 100]) and not profile.is_skewed([0, 1, 2, 3, 4]) and not profile.is_skewed([0, 1, 100])
 
 
@@ -267,3 +267,23 @@ def test_splitter_in_sql(spark):
     sql_functions.register(spark)
     rows = spark.sql("SELECT k, line, kind, `table` FROM split_statements('DROP TABLE a;\nALTER TABLE b DROP COLUMN c, ADD COLUMN d int') ORDER BY k, kind").collect()
     assert [tuple(r) for r in rows] == [(0, 1, "drop_table", "a"), (1, 2, "add_column", "b"), (1, 2, "drop_column", "b")]
+
+
+def test_planner_statistics(spark, tmp_path):
+    from gaugework.operators.targets import Ephemeral
+
+    with Ephemeral(spark) as target:
+        spark.range(100).select("id", F.when(F.col("id") % 4 > 0, F.col("id") % 5).alias("x")).write.saveAsTable(f"{target.name}.t")
+        assert tables.planner_stats(spark, f"{target.name}.t")[1] == {}
+        spark.sql(f"ANALYZE TABLE {target.name}.t COMPUTE STATISTICS FOR ALL COLUMNS")
+        rows, facts = tables.planner_stats(spark, f"{target.name}.t")
+        assert rows == Fact(100) and facts["x"]["null_fraction"] == Fact(0.25) and facts["x"]["distinct"] == Fact(5)
+
+
+def test_hints_are_carried(spark):
+    from gaugework.model import UserType
+
+    source = tables.frame_source(spark.range(10).select("id", F.lit("a").alias("m")), "t", declared_types={"m": "mood"}, types={"mood": UserType("enum", ["a", "b"]), "other": UserType("enum", ["c"])}, indexes=[Index("i", ["m"])], extensions=["citext"], checks=[("ok", "id >= 0")], unique=[["id"]])
+    shape = profile.pull(spark, [source], ENGINE).shape
+    assert set(shape.types) == {"mood"} and shape.tables["t"].indexes[0].name == "i" and shape.extensions == ["citext"]
+    assert {c.kind for c in shape.tables["t"].constraints} == {"unique", "check"} and shape.tables["t"].columns["id"].unique == Fact(True, "exact", "probe")
