@@ -9,8 +9,10 @@ one-deletion neighbourhoods, are chosen for each band by a cost model over the b
 
 Candidates are never written out pair by pair. Each document first meets the smallest member of its
 groups; what that links becomes one component. Then the groups are compared in square cells of
-bounded size, where an exact lower bound on the symmetric difference (parity bitmaps) leaves few
-pairs of different components, and those are verified on the sets themselves.
+bounded size by a lower bound on the symmetric difference (parity bitmaps), and each cell gives only
+a forest of its likeliest pairs between components, no more than it has members. Those are verified
+on the sets themselves, and the cells are looked at again, knowing what was refuted, with ever more
+forests, until no pair of different components is left that the bound allows.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from .hashing import shingle_set, splitmix
 
 #: Rows of a group that meet in one block of a cell.
 BLOCK = 256
+#: Disjoint forests of pairs that a cell gives in each round; after these rounds it gives all pairs that are left.
+FORESTS = (1, 8, 64)
 #: Bits of the filter that picks texts for verification; its broadcast has this size at any scale.
 FILTER_BITS = 1 << 24
 
@@ -91,11 +95,11 @@ def signatures(shingles: np.ndarray, band: int, exact: int, double: int, spare:
 
 
 def parity_bits(shingles: np.ndarray) -> bytes:
-    """Bit k tells whether an odd number of shingles hash to k; two to four bits a shingle.
+    """Bit k tells whether an odd number of shingles hash to k; eight to sixteen bits a shingle.
 
     The bits in which two sets differ are never more than their symmetric difference.
     """
-    size = 1 << max(6, (2 * len(shingles) - 1).bit_length() if len(shingles) else 6)
+    size = 1 << max(6, (8 * len(shingles) - 1).bit_length() if len(shingles) else 6)
     at = (splitmix(shingles) & np.uint64(size - 1)).astype(np.int64)
     return np.packbits(np.bincount(at, minlength=size).astype(np.uint8) & 1, bitorder="little").tobytes()
 
@@ -115,7 +119,7 @@ def _i64(values: np.ndarray) -> np.ndarray:
 
 
 def _sizes(documents: DataFrame, words: int) -> DataFrame:
-    """doc_id, n (set size), k1 and k2 (content key), bits."""
+    """doc_id, n (set size), k1 and k2 (content key)."""
 
     def run(batches):
         for batch in batches:
@@ -123,11 +127,11 @@ def _sizes(documents: DataFrame, words: int) -> DataFrame:
             one = np.array([x.sum(dtype=np.uint64) for x in sets], dtype=np.uint64)
             two = np.array([splitmix(x ^ np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64) for x in sets], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(_i64(one)), pa.array(_i64(two)), pa.array([parity_bits(x) for x in sets], pa.binary())],
-                ["doc_id", "n", "k1", "k2", "bits"],
+                [batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(_i64(one)), pa.array(_i64(two))],
+                ["doc_id", "n", "k1", "k2"],
             )
 
-    return documents.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, bits binary")
+    return documents.mapInArrow(run, "doc_id long, n long, k1 long, k2 long")
 
 
 def _index(documents: DataFrame, words: int, plan: list[tuple[int, int, int, int]], percent: int) -> DataFrame:
@@ -161,6 +165,17 @@ def _chosen(documents: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(bits), "bucket").where(byte.bitwiseAND(F.expr("shiftleft(1, cast(pos % 8 as int))")) != 0).select("doc_id", "text")
 
 
+def _bits(documents: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """id, n and bits of the documents of these ids (and of a few others) that have a set."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t, words) for _, t in _texts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([parity_bits(x) for x in sets], pa.binary())], ["id", "n", "bits"])
+
+    return _chosen(documents, ids).mapInArrow(run, "id long, n long, bits binary").where("n > 0")
+
+
 def _verified(documents: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets are similar, decided on the whole sets."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
@@ -184,28 +199,57 @@ def _verified(documents: DataFrame, pairs: DataFrame, words: int, percent: int)
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _cells(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components within each cell that the lower bound can't exclude.
+def _cells(rows: DataFrame, percent: int, forests: int | None) -> DataFrame:
+    """For each cell so many disjoint forests (None: all) of pairs of different components that the lower bound allows, likeliest pairs first.
 
-    rows: f1, f2, i, j (the cell), block, id, comp, n, bits, sorted by cell within partitions. A cell
-    has two blocks at most; cells are handled one by one, whatever batches they come in.
+    rows: f1, f2, i, j (the cell), block, id, comp, n, bits, gone (ids it was refuted with), sorted by
+    cell within partitions. A cell has two blocks at most; cells are handled one by one, whatever
+    batches they come in.
     """
 
-    def compare(block, ids, comp, n, bits, same):
-        out_a, out_b = [], []
+    def compare(block, ids, comp, n, bits, gone, same):
         width = min(len(b) for b in bits)
         words = np.stack([fold(np.frombuffer(b, np.uint8), width) for b in bits]).view(np.uint64)
+        left, right, margin = [], [], []
         for k in range(len(ids) - 1):
             rest = slice(k + 1, None)
             small, large = np.minimum(n[rest], n[k]), np.maximum(n[rest], n[k])
             apart = np.bitwise_count(words[rest] ^ words[k]).sum(axis=1, dtype=np.int64)
-            ok = (comp[rest] != comp[k]) & (100 * small >= percent * large) & ((100 + percent) * apart <= (100 - percent) * (small + large))
+            room = (100 - percent) * (small + large) - (100 + percent) * apart
+            ok = (comp[rest] != comp[k]) & (100 * small >= percent * large) & (room >= 0)
             if not same:
                 ok &= block[rest] != block[k]
-            hit = np.flatnonzero(ok) + k + 1
-            out_a.append(np.minimum(ids[hit], ids[k]))
-            out_b.append(np.maximum(ids[hit], ids[k]))
-        return out_a, out_b
+            hit = np.flatnonzero(ok)
+            left.append(np.full(len(hit), k))
+            right.append(hit + k + 1)
+            margin.append(room[hit] / (small + large)[hit])
+        left, right = np.concatenate(left), np.concatenate(right)
+        order = np.argsort(-np.concatenate(margin), kind="stable")
+        left, right = left[order].tolist(), right[order].tolist()
+        refuted, names, known = [set(g) if g else () for g in gone], comp.tolist(), ids.tolist()
+        rest, out = [(a, b) for a, b in zip(left, right) if known[b] not in refuted[a]], []
+        for _ in range(len(rest) if forests is None else forests):
+            if forests is None:
+                out, rest = rest, []
+            if not rest:
+                break
+            up: dict[int, int] = {}
+
+            def find(x):
+                while up.get(x, x) != x:
+                    up[x] = x = up.get(up[x], up[x])
+                return x
+
+            again = []
+            for a, b in rest:
+                x, y = find(names[a]), find(names[b])
+                if x != y:
+                    up[x] = y
+                    out.append((a, b))
+                else:
+                    again.append((a, b))
+            rest = again
+        return [(min(known[a], known[b]), max(known[a], known[b])) for a, b in out]
 
     def run(batches):
         held: pa.Table | None = None
@@ -224,15 +268,14 @@ def _cells(rows: DataFrame, percent: int) -> DataFrame:
     def emit(held, starts, upto):
         ends = np.r_[starts[1:], len(held)]
         i, j, block, ids, comp, n = (held.column(c).to_numpy() for c in ("i", "j", "block", "id", "comp", "n"))
-        bits = held.column("bits").to_pylist() if upto else []
-        out_a, out_b = [], []
+        bits, gone = held.column("bits").to_pylist(), held.column("gone").to_pylist()
+        out = []
         for s, e in zip(starts[:upto].tolist(), ends[:upto].tolist()):
             if e - s > 1:
-                x, y = compare(block[s:e], ids[s:e], comp[s:e], n[s:e], bits[s:e], i[s] == j[s])
-                out_a += x
-                out_b += y
-        if out_a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+                out += compare(block[s:e], ids[s:e], comp[s:e], n[s:e], bits[s:e], gone[s:e], i[s] == j[s])
+        if out:
+            pairs = np.array(out, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
 
@@ -271,20 +314,37 @@ def jaccard_join(documents: DataFrame, words: int = 5, percent: int = 80) -> Dat
     groups = stage(groups.where("least < most").select("f1", "f2", "id", "least").distinct(), "groups")
     first = groups.where("id != least").groupBy(F.col("id").alias("b")).agg(F.min("least").alias("a"))
     links = stage(_verified(rows, first, words, percent), "links")
-    comps = components(links)
-    bits = sizes.join(mine.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", "bits")
-    now = groups.select("f1", "f2", "id").join(comps, "id", "left").select("f1", "f2", "id", F.coalesce("component", "id").alias("comp"))
-    group = Window.partitionBy("f1", "f2")
-    now = now.withColumn("low", F.min("comp").over(group)).withColumn("high", F.max("comp").over(group)).withColumn("k", F.ceil(F.count(F.lit(1)).over(group) / BLOCK)).where("low < high")
-    now = now.select("f1", "f2", "id", "comp", "k", F.pmod(F.xxhash64("id"), "k").alias("block")).join(bits, "id")
-    now = now.select("*", F.explode(F.expr("sequence(0L, k - 1)")).alias("other")).select("f1", "f2", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp", "n", "bits")
-    now = now.repartition("f1", "f2", "i", "j").sortWithinPartitions("f1", "f2", "i", "j")
-    more = stage(_cells(now, percent).distinct(), "pairs")
-    links2 = stage(_verified(rows, more, words, percent), "links")
+    # What cells compare: size and bits of the documents that share a group with another.
+    bits = stage(_bits(rows, groups.select("id"), words), "bits")
+    refuted, comps, turn = None, components(links), 0
+    while True:
+        now = groups.select("f1", "f2", "id").join(comps, "id", "left").select("f1", "f2", "id", F.coalesce("component", "id").alias("comp"))
+        group = Window.partitionBy("f1", "f2")
+        now = now.withColumn("low", F.min("comp").over(group)).withColumn("high", F.max("comp").over(group)).withColumn("k", F.ceil(F.count(F.lit(1)).over(group) / BLOCK)).where("low < high")
+        now = now.select("f1", "f2", "id", "comp", "k", F.pmod(F.xxhash64("id"), "k").alias("block")).join(bits, "id")
+        if refuted is None:
+            now = now.withColumn("gone", F.lit(None).cast("array<bigint>"))
+        else:
+            ends = refuted.union(refuted.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            now = now.join(ends.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("gone")), "id", "left")
+        now = now.select("*", F.explode(F.expr("sequence(0L, k - 1)")).alias("other")).select("f1", "f2", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp", "n", "bits", "gone")
+        now = now.repartition("f1", "f2", "i", "j").sortWithinPartitions("f1", "f2", "i", "j")
+        pairs = stage(_cells(now, percent, FORESTS[turn] if turn < len(FORESTS) else None).distinct(), "pairs")
+        if pairs.isEmpty():
+            break
+        found = stage(_verified(rows, pairs, words, percent), "links")
+        lost = pairs.join(found, ["a", "b"], "left_anti")
+        refuted = stage(lost if refuted is None else refuted.union(lost), "refuted")
+        turn += 1
+        if found.isEmpty():
+            continue
+        links = stage(links.union(found), "links")
+        comps = components(links)
     # Rows with one doc_id and different texts belong together.
     split = known.where("n > 0").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
     split = known.join(split.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b"))
-    final = components(links.union(links2).union(split))
+    split = stage(split, "split")
+    final = comps if split.isEmpty() else components(links.union(split))
     out = known.join(final.withColumnRenamed("id", "rep"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
