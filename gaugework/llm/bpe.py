@@ -22,7 +22,7 @@ from .common import pick, ready_python, table
 # The pre-tokenisation pattern of this tokenizer family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words remembered by a Python worker; beyond it the memory starts anew.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 _NONE = np.int64(1 << 40)
 
 
@@ -146,7 +146,7 @@ def _bpe(shared) -> Bpe:
     return _ready[getattr(shared, "id", 0)]
 
 
-def _chunks(texts: list[str | None], chars: int = 2_000_000) -> Iterator[list[str | None]]:
+def _chunks(texts: list[str | None], chars: int = 1_000_000) -> Iterator[list[str | None]]:
     """Parts of a batch with so many characters at most, or a single longer text."""
     part: list[str | None] = []
     size = 0
