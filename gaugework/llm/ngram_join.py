@@ -95,11 +95,11 @@ def signatures(shingles: np.ndarray, band: int, exact: int, double: int, spare:
 
 
 def parity_bits(shingles: np.ndarray) -> bytes:
-    """Bit k tells whether an odd number of shingles hash to k; eight to sixteen bits a shingle.
+    """Bit k tells whether an odd number of shingles hash to k; two to four bits a shingle.
 
     The bits in which two sets differ are never more than their symmetric difference.
     """
-    size = 1 << max(6, (8 * len(shingles) - 1).bit_length() if len(shingles) else 6)
+    size = 1 << max(6, (2 * len(shingles) - 1).bit_length() if len(shingles) else 6)
     at = (splitmix(shingles) & np.uint64(size - 1)).astype(np.int64)
     return np.packbits(np.bincount(at, minlength=size).astype(np.uint8) & 1, bitorder="little").tobytes()
 
@@ -200,7 +200,7 @@ def _verified(documents: DataFrame, pairs: DataFrame, words: int, percent: int)
 
 
 def _cells(rows: DataFrame, percent: int, forests: int | None) -> DataFrame:
-    """For each cell so many disjoint forests (None: all) of pairs of different components that the lower bound allows, likeliest pairs first.
+    """f1, f2, a, b: for each cell so many disjoint forests (None: all) of pairs of different components that the lower bound allows, likeliest pairs first.
 
     rows: f1, f2, i, j (the cell), block, id, comp, n, bits, gone (ids it was refuted with), sorted by
     cell within partitions. A cell has two blocks at most; cells are handled one by one, whatever
@@ -267,17 +267,17 @@ def _cells(rows: DataFrame, percent: int, forests: int | None) -> DataFrame:
 
     def emit(held, starts, upto):
         ends = np.r_[starts[1:], len(held)]
-        i, j, block, ids, comp, n = (held.column(c).to_numpy() for c in ("i", "j", "block", "id", "comp", "n"))
+        f1, f2, i, j, block, ids, comp, n = (held.column(c).to_numpy() for c in ("f1", "f2", "i", "j", "block", "id", "comp", "n"))
         bits, gone = held.column("bits").to_pylist(), held.column("gone").to_pylist()
         out = []
         for s, e in zip(starts[:upto].tolist(), ends[:upto].tolist()):
             if e - s > 1:
-                out += compare(block[s:e], ids[s:e], comp[s:e], n[s:e], bits[s:e], gone[s:e], i[s] == j[s])
+                out += [(f1[s], f2[s], a, b) for a, b in compare(block[s:e], ids[s:e], comp[s:e], n[s:e], bits[s:e], gone[s:e], i[s] == j[s])]
         if out:
             pairs = np.array(out, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(4)], ["f1", "f2", "a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "f1 long, f2 long, a long, b long")
 
 
 def jaccard_join(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -329,9 +329,12 @@ def jaccard_join(documents: DataFrame, words: int = 5, percent: int = 80) -> Dat
             now = now.join(ends.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("gone")), "id", "left")
         now = now.select("*", F.explode(F.expr("sequence(0L, k - 1)")).alias("other")).select("f1", "f2", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp", "n", "bits", "gone")
         now = now.repartition("f1", "f2", "i", "j").sortWithinPartitions("f1", "f2", "i", "j")
-        pairs = stage(_cells(now, percent, FORESTS[turn] if turn < len(FORESTS) else None).distinct(), "pairs")
-        if pairs.isEmpty():
+        given = stage(_cells(now, percent, FORESTS[turn] if turn < len(FORESTS) else None), "pairs")
+        if given.isEmpty():
             break
+        pairs = given.select("a", "b").distinct()
+        # The bound doesn't change, so groups that gave no pair never will.
+        groups = stage(groups.join(given.select("f1", "f2").distinct(), ["f1", "f2"], "left_semi"), "groups")
         found = stage(_verified(rows, pairs, words, percent), "links")
         lost = pairs.join(found, ["a", "b"], "left_anti")
         refuted = stage(lost if refuted is None else refuted.union(lost), "refuted")
