@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, ready_python, table
+from .common import pick, ready_python, stage, table
 
 #: Pages that a host needs before a block on each of them counts as boilerplate.
 LEAST_PAGES = 8
@@ -229,7 +229,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     ready_python(spark)
     rows = pick(pages, "page_id", "url", "html").select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    both = rows.join(templates(rows), "host", "left").select("page_id", "url", "html", "pages", "template")
+    # A table of its own, so that a small one is broadcast by its known size and a large one joined
+    # by a shuffle in which Spark can split the pages of a frequent host.
+    both = rows.join(stage(templates(rows), "templates"), "host", "left").select("page_id", "url", "html", "pages", "template")
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("page_id", "url"))
 
     def run(batches):
