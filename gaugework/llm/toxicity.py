@@ -195,5 +195,5 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score and decision for every document; a fifth of the documents is held out from learning."""
     documents = table(spark, sf_dir, "documents")
     scored = score_documents(documents, train(documents, table(spark, sf_dir, "labels")))
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
