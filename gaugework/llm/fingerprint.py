@@ -11,6 +11,7 @@ and likeness corrects the share of equal bins for chance agreement of low bits.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -34,7 +35,8 @@ def bound_to(value: Column, body: Callable[[Column], Column]) -> Column:
 def _probes() -> Column:
     """For each bin, all bins in the fixed order in which it looks for a filled one."""
     order = lambda b: sorted(range(BINS), key=lambda c: hashlib.sha256(f"{b} {c}".encode()).digest())
-    return F.lit([order(b) for b in range(BINS)]).cast("array<array<int>>")
+    # One literal that Spark folds to a constant, instead of one for each number.
+    return F.from_json(F.lit(json.dumps([order(b) for b in range(BINS)])), "array<array<int>>")
 
 
 def _shingles(text: Column) -> Column:
