@@ -1,11 +1,12 @@
 """Line deduplication by a segment-partition edit join, in DataFrame functions only.
 
-Lines within `threshold` edits of each other are duplicates. A line is cut into threshold + 1
-segments of which a duplicate must contain one unchanged, near its place: the index has the segments
-of each line by its length, and a line probes the indexes of its own and of the shorter lengths with
-those of its substrings that can match when errors left and right of the segment are counted
-(multi-match-aware selection). Candidates are verified by a bit-parallel automaton over the band of
-diagonals. Of each class of duplicates the first occurrence stays, in order of doc_id and place.
+Lines within `threshold` edits of each other are duplicates; the threshold is one number or grows with
+the length of the shorter line. A line is cut into threshold + 1 segments of which a duplicate must
+contain one unchanged, near its place from the left or the right end: the index has the segments of
+each line by its length, and a line probes the indexes of its own and of the shorter lengths with
+those of its substrings that can match when errors between the end and the segment are counted
+(multi-match-aware selection). Candidates are verified by the bounded edit distance. Of each class of
+duplicates the first occurrence stays, in order of doc_id and place.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import blank, components, pick, stage, table
 
-#: Edits that duplicates may differ by, and words that a line needs to count as a duplicate at all.
-THRESHOLD, LEAST_WORDS = 1, 5
+#: Edits that duplicates may differ by, as (characters of the shorter line from which they hold, edits).
+BANDS = ((0, 1), (40, 2), (120, 3))
+#: Words that a line needs to count as a duplicate at all.
+LEAST_WORDS = 5
 #: Bits of the filter that picks lines for verification; its broadcast has this size at any scale.
 FILTER_BITS = 1 << 24
 
@@ -31,28 +34,62 @@ def _lines(documents: DataFrame, least_words: int) -> DataFrame:
     return rows.where(long).select(first.alias("first"), "line", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), F.char_length("line").alias("len"))
 
 
-def _keys(threshold: int) -> tuple[Column, Column]:
-    """(keys of a line's own segments, keys of its probes), arrays of hashes. A key holds indexed length, segment number and content."""
+Bands = tuple[tuple[int, int], ...]
 
-    def begin(i: int, length: Column) -> Column:
-        return ((i * length) / (threshold + 1)).cast("int")
 
-    def key(i: int, length: Column, start: Column) -> Column:
-        return F.xxhash64(length, F.lit(i), F.substring("line", start + 1, begin(i + 1, length) - begin(i, length)))
+def _bands(threshold: int | Bands) -> Bands:
+    found = ((0, threshold),) if isinstance(threshold, int) else tuple(threshold)
+    if found[0][0] != 0 or list(found) != sorted(found) or [e for _, e in found] != sorted(e for _, e in found):
+        raise ValueError("bands start at 0 characters, and neither characters nor edits may fall")
+    return found
 
-    size = F.col("len")
-    own = [key(i, size, begin(i, size)) for i in range(threshold + 1)]
-    probes = []
-    for delta in range(threshold + 1):
-        length = size - delta
-        for i in range(threshold + 1):
-            # Starts relative to the segment's own, 0-based i: left of it i errors at most, right of it threshold - i.
-            for shift in range(max(-i, delta - (threshold - i)), min(i, delta + (threshold - i)) + 1):
-                if delta or shift:
-                    start = begin(i, length) + shift
-                    fits = (length > 0) & (start >= 0) & (start + begin(i + 1, length) - begin(i, length) <= size)
-                    probes.append(F.when(fits, key(i, length, start)))
-    return F.array_distinct(F.array(*own)), F.array_compact(F.array_distinct(F.array(*probes))) if probes else F.array().cast("array<bigint>")
+
+def _within_band(bands: Bands, k: int, length: Column) -> Column:
+    """Whether band k holds for this length."""
+    above = length >= bands[k][0]
+    return above & (length < bands[k + 1][0]) if k + 1 < len(bands) else above
+
+
+def _keys(bands: Bands) -> tuple[Column, Column]:
+    """(keys of a line's own segments, keys of its probes), arrays of hashes.
+
+    Of two lines within t edits the shorter is the indexed one. Its segments have one size for all
+    lengths of a bucket, are counted from the left end up to t // 2 and from the right end the others;
+    either the left ones have t // 2 errors at most, or the right ones less than t - t // 2. So the
+    i-th segment from one end stands unchanged in the longer line, i places off at most from that end.
+    """
+
+    def bucket(k: int, length: Column) -> Column:
+        """The smallest length of the bucket; the longer line's probes meet two at most from 16 characters on."""
+        start, threshold = bands[k]
+        wide = max(start, 16)
+        return F.when(length < wide, length).otherwise(wide + F.floor((length - wide) / (8 * threshold)) * (8 * threshold)).cast("int")
+
+    def keys(k: int, least: Column, shifts: bool) -> list[Column]:
+        threshold, out = bands[k][1], []
+        q = F.floor(least / (threshold + 1)).cast("int")
+        for left, errors in ((True, threshold // 2), (False, threshold - 1 - threshold // 2)):
+            for i in range(errors + 1):
+                for shift in range(-i, i + 1) if shifts else (0,):
+                    start = (q * i if left else size - q * (i + 1)) + shift
+                    found = F.xxhash64(least, F.lit(k), F.lit(i), F.lit(left), F.substring("line", start + 1, q))
+                    out.append(F.when((start >= 0) & (start + q <= size), found) if shift else found)
+        return out
+
+    size, nothing = F.col("len"), F.array().cast("array<bigint>")
+    own, probes = nothing, []
+    for k, (_, threshold) in enumerate(bands):
+        if not threshold:
+            continue
+        own = F.when(_within_band(bands, k, size), F.array(*keys(k, bucket(k, size), False))).otherwise(own)
+        for delta in range(threshold + 1):
+            # The band and the bucket are those of the indexed line, delta characters shorter.
+            length = size - delta
+            new = _within_band(bands, k, length)
+            if delta:
+                new &= (bucket(k, length) != bucket(k, length + 1)) | ~_within_band(bands, k, length + 1)
+            probes.append(F.when(new, F.array(*keys(k, bucket(k, length), True))).otherwise(nothing))
+    return F.array_distinct(own), F.array_compact(F.array_distinct(F.concat(*probes))) if probes else nothing
 
 
 def within(a: Column, b: Column, threshold: int) -> Column:
@@ -105,19 +142,26 @@ def _chosen(lines: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(bits), "bucket").where(byte.bitwiseAND(F.expr("shiftleft(1, cast(spot % 8 as int))")) != 0).select("h1", "line").distinct()
 
 
-def line_links(lines: DataFrame, distinct: DataFrame, threshold: int) -> DataFrame:
-    """Links (a, b) between hashes of different lines within the threshold. distinct: h1, own, probes."""
-    own = distinct.select(F.explode("own").alias("key"), F.col("h1").alias("a"))
-    probe = distinct.select(F.explode("probes").alias("key"), F.col("h1").alias("b"))
-    alike = own.alias("l").join(own.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.a") < F.col("r.a"))).select(F.col("l.a").alias("a"), F.col("r.a").alias("b"))
-    shorter = own.join(probe, "key").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = stage(alike.union(shorter).distinct(), "pairs")
-    known = _chosen(lines, pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
+def line_links(distinct: DataFrame, bands: Bands) -> DataFrame:
+    """Links (a, b) between hashes of different lines within the threshold. distinct: h1, len, line."""
+    segments, substrings = _keys(bands)
+    own = distinct.select(F.explode(segments).alias("key"), F.col("h1").alias("a"), F.col("len").alias("m"))
+    probe = distinct.select(F.explode(substrings).alias("key"), F.col("h1").alias("b"), F.col("len").alias("n"))
+    longer = (F.col("n") > F.col("m")) & (F.col("n") - F.col("m") <= bands[-1][1])
+    found = own.alias("l").join(probe.alias("r"), (F.col("l.key") == F.col("r.key")) & (longer | (F.col("n") == F.col("m")) & (F.col("a") < F.col("b"))))
+    pairs = stage(found.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    known = _chosen(distinct, pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
     both = pairs.join(known.select(F.col("h1").alias("a"), F.col("line").alias("x")), "a").join(known.select(F.col("h1").alias("b"), F.col("line").alias("y")), "b")
-    return both.where(within(F.col("x"), F.col("y"), threshold)).select("a", "b")
+    shorter_length = F.least(F.char_length("x"), F.char_length("y"))
+    near = F.lit(False)
+    for k, (_, threshold) in enumerate(bands):
+        # Spark's own bounded distance counts code points, as within() does, at a fraction of its cost.
+        distance = F.levenshtein(F.col("x"), F.col("y"), threshold)
+        near = F.when(_within_band(bands, k, shorter_length), distance >= 0).otherwise(near)
+    return both.where(near).select("a", "b")
 
 
-def dedup_lines(documents: DataFrame, threshold: int = THRESHOLD, least_words: int = LEAST_WORDS) -> DataFrame:
+def dedup_lines(documents: DataFrame, threshold: int | Bands = BANDS, least_words: int = LEAST_WORDS) -> DataFrame:
     """The rows with their text freed of duplicate lines, and n_lines and n_removed.
 
     Lines end at line feeds; those of fewer than least_words words stay untouched. The first of a
@@ -128,10 +172,8 @@ def dedup_lines(documents: DataFrame, threshold: int = THRESHOLD, least_words: i
     """
     rows = pick(documents, "doc_id", "text")
     lines = _lines(rows, least_words)
-    own, probes = _keys(threshold)
-    at = lines.withColumn("own", own).withColumn("probes", probes)
-    distinct = stage(at.groupBy("h1", "h2", "len").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n"), F.any_value("own").alias("own"), F.any_value("probes").alias("probes")), "lines")
-    links = stage(line_links(lines, distinct, threshold), "links")
+    distinct = stage(lines.groupBy("h1", "h2", "len").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n"), F.any_value("line").alias("line")), "lines")
+    links = stage(line_links(distinct, _bands(threshold)), "links")
     classes = distinct.select("h1", "h2", "len", "first", "n").join(components(links).withColumnRenamed("id", "h1"), "h1", "left")
     linked = classes.where(F.col("component").isNotNull())
     heads = linked.groupBy("component").agg(F.min("first").alias("head"))
@@ -148,6 +190,6 @@ def dedup_lines(documents: DataFrame, threshold: int = THRESHOLD, least_words: i
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents freed of lines that stand, but for an edit, in an earlier place."""
+    """All documents freed of lines that stand, but for a few edits (BANDS), in an earlier place."""
     done = dedup_lines(pick(table(spark, sf_dir, "documents"), "doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(blank(F.col("text")), 256).alias("text_sha256"), "text")

@@ -140,6 +140,28 @@ def test_line_dedup_equals_brute_force(spark):
         assert got == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in rows}
 
 
+def test_edits_of_duplicate_lines_grow_with_length(spark):
+    random.seed(10)
+    bands = line_dedup.BANDS
+    assert max(e for _, e in bands) >= 3
+    lines = []
+    for n in (24, 36, 38, 39, 40, 41, 42, 60, 117, 118, 119, 120, 121, 122, 123, 160, 250):
+        for _ in range(3):
+            base = (" ".join("".join(random.choices("abcdefgh", k=3)) for _ in range(70)))[: n - 1] + "z"
+            lines += [base, *(mutated(base, e) for e in (1, 2, 3, 4, 5))]
+    random.shuffle(lines)
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    links, long = brute.Links(), [k for k, x in enumerate(lines) if len(x.split()) >= 5]
+    for p in long:
+        links.find(p)
+        for q in long:
+            if q < p and abs(len(lines[p]) - len(lines[q])) <= 3:
+                if edits(lines[q], lines[p]) <= max(e for c, e in bands if c <= min(len(lines[p]), len(lines[q]))):
+                    links.join(p, q)
+    got = {r.doc_id for r in line_dedup.dedup_lines(df).collect() if r.n_removed}
+    assert got == {p for p in long if links.find(p) != p} and len(got) > 100
+
+
 def test_swaps_take_weight_from_group_names(spark):
     random.seed(1)
     rows, labels = [], []
