@@ -23,7 +23,7 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that stand in an earlier place; those of which nothing is left go."""
-    done = line_dedup.dedup_lines(common.pick(docs, *COLUMNS))
+    done = line_dedup.dedup_lines(common.pick(docs, *COLUMNS), short=True)
     rest = (F.col("n_removed") == 0) | (F.btrim("text", F.lit(" \t\n\x0b\x0c\r")) != "")
     chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return done.where(rest).withColumn("n_chars", chars).select(*COLUMNS)

@@ -20,18 +20,21 @@ from .common import blank, components, pick, stage, table
 
 #: Edits that duplicates may differ by, as (characters of the shorter line from which they hold, edits).
 BANDS = ((0, 1), (40, 2), (120, 3))
-#: Words that a line needs to count as a duplicate at all.
-LEAST_WORDS = 5
+#: Words, or characters in languages without blanks, that a line needs to be compared but for exact copies.
+LEAST_WORDS, LEAST_CHARS = 5, 20
 #: Bits of the filter that picks lines for verification; its broadcast has this size at any scale.
 FILTER_BITS = 1 << 24
 
 
+def _words(least_words: int) -> Column:
+    return F.regexp_like("line", F.lit(r"^\s*(?:\S+\s+){%d}\S" % (least_words - 1)))
+
+
 def _lines(documents: DataFrame, least_words: int) -> DataFrame:
     """first (isnull, doc_id, row, pos), line, h1, h2, len of every line long enough. row tells rows of one doc_id apart."""
     rows = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    long = F.regexp_like("line", F.lit(r"^\s*(?:\S+\s+){%d}\S" % (least_words - 1)))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "pos")
-    return rows.where(long).select(first.alias("first"), "line", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), F.char_length("line").alias("len"))
+    return rows.where(_words(least_words)).select(first.alias("first"), "line", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), F.char_length("line").alias("len"))
 
 
 Bands = tuple[tuple[int, int], ...]
@@ -161,19 +164,21 @@ def line_links(distinct: DataFrame, bands: Bands) -> DataFrame:
     return both.where(near).select("a", "b")
 
 
-def dedup_lines(documents: DataFrame, threshold: int | Bands = BANDS, least_words: int = LEAST_WORDS) -> DataFrame:
+def dedup_lines(documents: DataFrame, threshold: int | Bands = BANDS, least_words: int = LEAST_WORDS, short: bool = False) -> DataFrame:
     """The rows with their text freed of duplicate lines, and n_lines and n_removed.
 
-    Lines end at line feeds; those of fewer than least_words words stay untouched. The first of a
+    Lines end at line feeds; those of fewer than least_words words stay untouched unless short is set.
+    Then only blank ones do: exact copies of all others go, and lines of LEAST_CHARS characters are
+    compared whatever their words. The first of a
     class stays in the row of the smallest doc_id (nulls last), then by a hash of the row's text, then
     by place; rows equal in doc_id and text are one document and are treated alike. A null text stays
     null and has no lines. Columns n_lines and n_removed of the input are replaced, others are kept;
     an empty table gives no rows.
     """
     rows = pick(documents, "doc_id", "text")
-    lines = _lines(rows, least_words)
+    lines = _lines(rows, 1 if short else least_words)
     distinct = stage(lines.groupBy("h1", "h2", "len").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n"), F.any_value("line").alias("line")), "lines")
-    links = stage(line_links(distinct, _bands(threshold)), "links")
+    links = stage(line_links(distinct.where(_words(least_words) | (F.col("len") >= LEAST_CHARS)), _bands(threshold)), "links")
     classes = distinct.select("h1", "h2", "len", "first", "n").join(components(links).withColumnRenamed("id", "h1"), "h1", "left")
     linked = classes.where(F.col("component").isNotNull())
     heads = linked.groupBy("component").agg(F.min("first").alias("head"))
@@ -191,5 +196,5 @@ def dedup_lines(documents: DataFrame, threshold: int | Bands = BANDS, least_word
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents freed of lines that stand, but for a few edits (BANDS), in an earlier place."""
-    done = dedup_lines(pick(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    done = dedup_lines(pick(table(spark, sf_dir, "documents"), "doc_id", "text"), short=True)
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(blank(F.col("text")), 256).alias("text_sha256"), "text")

@@ -162,6 +162,13 @@ def test_edits_of_duplicate_lines_grow_with_length(spark):
     assert got == {p for p in long if links.find(p) != p} and len(got) > 100
 
 
+def test_short_lines_and_lines_without_blanks(spark):
+    chinese = "这一行没有空格但是它足够长可以与其他行进行比较的"
+    rows = [(1, "Read more\n\n" + chinese), (2, "Read more\n\nChapter 1"), (3, "Chapter 2\n \n" + chinese[:9] + "x" + chinese[10:]), (4, "\n \nRead more now")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), short=True).collect()}
+    assert got == {1: rows[0][1], 2: "\nChapter 1", 3: "Chapter 2\n ", 4: rows[3][1]}
+
+
 def test_swaps_take_weight_from_group_names(spark):
     random.seed(1)
     rows, labels = [], []
