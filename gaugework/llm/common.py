@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch handed to Python. Documents can be long, so batches are kept small.
 BATCH_ROWS = 256
+#: Most bits of a filter by which rows are picked before a join: 32 MB.
+FILTER_BITS = 1 << 28
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that extra columns can never clash with the operator's own."""
-    return df.select(*(df[n] for n in names))
+    """Only the named columns, found by their exact names, so that extra columns can never clash with the operator's own."""
+    at = [df.columns.index(n) for n in names]
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).select(*(F.col(f"c{k}").alias(n) for k, n in zip(at, names)))
 
 
 _shipped: set[str] = set()
@@ -47,7 +50,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's spark.checkpoint.dir, or, where none is set, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        # Unset only in local sessions such as tests, where one machine holds driver and executors.
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        # One machine holds driver and executors.
         found = f"file://{tempfile.mkdtemp(prefix='gaugework-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -71,6 +76,20 @@ def unstage(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def among(rows: DataFrame, key: str, ids: DataFrame, id_: str) -> DataFrame:
+    """The rows whose key may be among the ids, before a join on it shuffles them; a few others come along.
+
+    The filter has sixteen bits for each id, up to FILTER_BITS, so its broadcast never grows beyond
+    that many bits; with very many ids it lets more of the other rows pass, which the join then drops.
+    """
+    size = 1 << min(FILTER_BITS.bit_length() - 1, max(15, (16 * ids.count()).bit_length()))
+    spot = lambda c: F.pmod(F.xxhash64(F.lit(5), c), F.lit(size)) + 1
+    bits = ids.select(spot(F.col(id_)).alias("at")).groupBy(F.expr("bitmap_bucket_number(at)").alias("filter_bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("filter_bits"))
+    marked = rows.withColumn("filter_at", spot(F.col(key))).withColumn("filter_bucket", F.expr("bitmap_bucket_number(filter_at)")).withColumn("filter_at", F.expr("bitmap_bit_position(filter_at)"))
+    byte = F.conv(F.hex(F.substring("filter_bits", (F.col("filter_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return marked.join(F.broadcast(bits), "filter_bucket").where(byte.bitwiseAND(F.expr("shiftleft(1, cast(filter_at % 8 as int))")) != 0).select(*rows.columns)
+
+
 def _mark(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.hash("u", "v").cast("long"))).first()
     return tuple(row)

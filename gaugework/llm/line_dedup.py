@@ -5,8 +5,16 @@ the length of the shorter line. A line is cut into threshold + 1 segments of whi
 contain one unchanged, near its place from the left or the right end: the index has the segments of
 each line by its length, and a line probes the indexes of its own and of the shorter lengths with
 those of its substrings that can match when errors between the end and the segment are counted
-(multi-match-aware selection). Candidates are verified by the bounded edit distance. Of each class of
-duplicates the first occurrence stays, in order of doc_id and place.
+(multi-match-aware selection).
+
+Only the classes of duplicates matter, so candidates are never written out pair by pair. The lines
+that share an index key form a group, and groups of equal members are one. Groups meet in cells of
+bounded size, each of them one row that holds its lines; a cell gives, for each of its lines, at
+most one duplicate from another class. Every one given is verified by a banded automaton of bit-parallel
+steps. First each line meets one block of its group, and then, while classes still grow, every cell
+with lines of different classes is looked at again. Each round merges every class that has a
+duplicate outside, so there are no more rounds than the logarithm of the largest class. Of each class
+the first occurrence stays, in order of doc_id and place.
 """
 
 from __future__ import annotations
@@ -16,14 +24,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blank, components, pick, stage, table
+from .common import among, blank, components, pick, stage, table, unstage
 
 #: Edits that duplicates may differ by, as (characters of the shorter line from which they hold, edits).
 BANDS = ((0, 1), (40, 2), (120, 3))
 #: Words, or characters in languages without blanks, that a line needs to be compared but for exact copies.
 LEAST_WORDS, LEAST_CHARS = 5, 20
-#: Bits of the filter that picks lines for verification; its broadcast has this size at any scale.
-FILTER_BITS = 1 << 24
+#: Characters of the windows that are compared before whole lines.
+WINDOW = 40
+#: Lines, and characters of all lines, of one kind in a cell; two lines are always allowed.
+CELL_ROWS, CELL_CHARS = 256, 4_000_000
 
 
 def _words(least_words: int) -> Column:
@@ -32,9 +42,10 @@ def _words(least_words: int) -> Column:
 
 def _lines(documents: DataFrame, least_words: int) -> DataFrame:
     """first (isnull, doc_id, row, pos), line, h1, h2, len of every line long enough. row tells rows of one doc_id apart."""
-    rows = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    # An outer explode, as Spark puts a filter that splits the text once more before another.
+    rows = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "pos")
-    return rows.where(_words(least_words)).select(first.alias("first"), "line", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), F.char_length("line").alias("len"))
+    return rows.where(F.col("line").isNotNull() & _words(least_words)).select(first.alias("first"), "line", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), F.char_length("line").alias("len"))
 
 
 Bands = tuple[tuple[int, int], ...]
@@ -53,14 +64,16 @@ def _within_band(bands: Bands, k: int, length: Column) -> Column:
     return above & (length < bands[k + 1][0]) if k + 1 < len(bands) else above
 
 
-def _keys(bands: Bands) -> tuple[Column, Column]:
-    """(keys of a line's own segments, keys of its probes), arrays of hashes.
+def _index(lines: DataFrame, bands: Bands) -> DataFrame:
+    """key, id (h1), len and own of every line's segments (own: 1) and probes (own: 0).
 
     Of two lines within t edits the shorter is the indexed one. Its segments have one size for all
     lengths of a bucket, are counted from the left end up to t // 2 and from the right end the others;
     either the left ones have t // 2 errors at most, or the right ones less than t - t // 2. So the
     i-th segment from one end stands unchanged in the longer line, i places off at most from that end.
+    A line's own segments are among its probes of its own bucket.
     """
+    size = F.col("len")
 
     def bucket(k: int, length: Column) -> Column:
         """The smallest length of the bucket; the longer line's probes meet two at most from 16 characters on."""
@@ -68,31 +81,30 @@ def _keys(bands: Bands) -> tuple[Column, Column]:
         wide = max(start, 16)
         return F.when(length < wide, length).otherwise(wide + F.floor((length - wide) / (8 * threshold)) * (8 * threshold)).cast("int")
 
-    def keys(k: int, least: Column, shifts: bool) -> list[Column]:
-        threshold, out = bands[k][1], []
-        q = F.floor(least / (threshold + 1)).cast("int")
-        for left, errors in ((True, threshold // 2), (False, threshold - 1 - threshold // 2)):
-            for i in range(errors + 1):
-                for shift in range(-i, i + 1) if shifts else (0,):
-                    start = (q * i if left else size - q * (i + 1)) + shift
-                    found = F.xxhash64(least, F.lit(k), F.lit(i), F.lit(left), F.substring("line", start + 1, q))
-                    out.append(F.when((start >= 0) & (start + q <= size), found) if shift else found)
-        return out
-
-    size, nothing = F.col("len"), F.array().cast("array<bigint>")
-    own, probes = nothing, []
+    met, places = [], {}
     for k, (_, threshold) in enumerate(bands):
-        if not threshold:
-            continue
-        own = F.when(_within_band(bands, k, size), F.array(*keys(k, bucket(k, size), False))).otherwise(own)
-        for delta in range(threshold + 1):
+        for delta in range(threshold + 1) if threshold else ():
             # The band and the bucket are those of the indexed line, delta characters shorter.
             length = size - delta
             new = _within_band(bands, k, length)
             if delta:
                 new &= (bucket(k, length) != bucket(k, length + 1)) | ~_within_band(bands, k, length + 1)
-            probes.append(F.when(new, F.array(*keys(k, bucket(k, length), True))).otherwise(nothing))
-    return F.array_distinct(own), F.array_compact(F.array_distinct(F.concat(*probes))) if probes else nothing
+            met.append(F.when(new, F.struct(F.lit(threshold).alias("edits"), bucket(k, length).alias("least"), F.lit(delta == 0).alias("home"))))
+        # (left, i, shift): the i-th segment from one end, so many places off.
+        ends = ((True, threshold // 2), (False, threshold - 1 - threshold // 2))
+        places[threshold] = [(left, i, shift) for left, errors in ends for i in range(errors + 1) for shift in range(-i, i + 1)]
+    if not met:
+        return lines.select(F.lit(0).cast("long").alias("key"), F.col("h1").alias("id"), "len", F.lit(0).alias("own")).where("false")
+    kind = "array<struct<left:boolean,i:int,shift:int>>"
+    spots = F.lit(None).cast(kind)
+    for threshold, found in places.items():
+        spots = F.when(F.col("m.edits") == threshold, F.array(*(F.struct(*(F.lit(x) for x in p)) for p in found)).cast(kind)).otherwise(spots)
+    rows = lines.select("h1", "line", "len", F.explode(F.array(*met)).alias("m")).where("m is not null")
+    rows = rows.select("h1", "line", "len", "m", F.floor(F.col("m.least") / (F.col("m.edits") + 1)).cast("int").alias("q"), F.explode(spots).alias("p"))
+    start = F.when(F.col("p.left"), F.col("q") * F.col("p.i")).otherwise(size - F.col("q") * (F.col("p.i") + 1)) + F.col("p.shift")
+    rows = rows.withColumn("start", start).where("start >= 0 and start + q <= len")
+    key = F.xxhash64("m.least", "m.edits", "p.i", "p.left", F.substring("line", F.col("start") + 1, F.col("q")))
+    return rows.select(key.alias("key"), F.col("h1").alias("id"), "len", (F.col("m.home") & (F.col("p.shift") == 0)).cast("int").alias("own"))
 
 
 def within(a: Column, b: Column, threshold: int) -> Column:
@@ -135,33 +147,130 @@ def within(a: Column, b: Column, threshold: int) -> Column:
     return near & (short | let(F.struct(letters(a).alias("x"), letters(b).alias("y")), lambda p: run(p["x"], p["y"])))
 
 
-def _chosen(lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """The distinct lines whose h1 may be among `ids`, by a filter of a fixed number of bits; a few others come along."""
-    spot = lambda c: F.pmod(F.col(c), F.lit(FILTER_BITS)) + 1
-    bits = ids.select(spot("id").alias("at")).groupBy(F.expr("bitmap_bucket_number(at)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("bits"))
-    rows = lines.select("h1", "line").withColumn("at", spot("h1"))
-    rows = rows.withColumn("bucket", F.expr("bitmap_bucket_number(at)")).withColumn("spot", F.expr("bitmap_bit_position(at)"))
-    byte = F.conv(F.hex(F.substring("bits", (F.col("spot") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return rows.join(F.broadcast(bits), "bucket").where(byte.bitwiseAND(F.expr("shiftleft(1, cast(spot % 8 as int))")) != 0).select("h1", "line").distinct()
-
-
-def line_links(distinct: DataFrame, bands: Bands) -> DataFrame:
-    """Links (a, b) between hashes of different lines within the threshold. distinct: h1, len, line."""
-    segments, substrings = _keys(bands)
-    own = distinct.select(F.explode(segments).alias("key"), F.col("h1").alias("a"), F.col("len").alias("m"))
-    probe = distinct.select(F.explode(substrings).alias("key"), F.col("h1").alias("b"), F.col("len").alias("n"))
-    longer = (F.col("n") > F.col("m")) & (F.col("n") - F.col("m") <= bands[-1][1])
-    found = own.alias("l").join(probe.alias("r"), (F.col("l.key") == F.col("r.key")) & (longer | (F.col("n") == F.col("m")) & (F.col("a") < F.col("b"))))
-    pairs = stage(found.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    known = _chosen(distinct, pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
-    both = pairs.join(known.select(F.col("h1").alias("a"), F.col("line").alias("x")), "a").join(known.select(F.col("h1").alias("b"), F.col("line").alias("y")), "b")
-    shorter_length = F.least(F.char_length("x"), F.char_length("y"))
-    near = F.lit(False)
+def _edits(bands: Bands, a: Column, b: Column, test: Callable[[int], Column]) -> Column:
+    """test(threshold) by the band of the shorter line."""
+    length, near = F.least(F.char_length(a), F.char_length(b)), F.lit(False)
     for k, (_, threshold) in enumerate(bands):
-        # Spark's own bounded distance counts code points, as within() does, at a fraction of its cost.
-        distance = F.levenshtein(F.col("x"), F.col("y"), threshold)
-        near = F.when(_within_band(bands, k, shorter_length), distance >= 0).otherwise(near)
-    return both.where(near).select("a", "b")
+        near = F.when(_within_band(bands, k, length), test(threshold)).otherwise(near)
+    return near
+
+
+def _groups(lines: DataFrame, bands: Bands) -> DataFrame:
+    """f1, f2 (the group), id, own, and of the group n lines, m of them indexed, and its longest line's size; staged."""
+    index = _index(lines, bands)
+    # Extremes are combined before the shuffle; a key with one line, which most have, ends here.
+    shared = index.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("own").alias("own")).where("low < high and own = 1")
+    shared = stage(shared.select("key"), "keys")
+    # A line may meet a key by several of its substrings, and stand in several places.
+    rows = index.join(shared, "key").groupBy("key", "id").agg(F.max("own").alias("own"), F.max("len").alias("len"))
+    rows = stage(rows, "members")
+    mark = lambda seed: F.bit_xor(F.xxhash64("id", "own", F.lit(seed)))
+    whole = rows.groupBy("key").agg(mark(0).alias("f1"), mark(1).alias("f2"), F.count(F.lit(1)).alias("n"), F.sum("own").alias("m"), F.max("len").alias("size"))
+    groups = stage(rows.join(whole, "key").select("f1", "f2", "id", "own", "n", "m", "size").distinct(), "groups")
+    unstage(shared)
+    unstage(rows)
+    return groups
+
+
+def line_links(lines: DataFrame, bands: Bands) -> DataFrame:
+    """Links (a, b) between different lines within the threshold, that join all lines of a class; staged.
+
+    lines: h1, h2, len, line, repeated lines allowed. A line's name in the links is (h1, h2, len).
+    """
+    groups = _groups(lines, bands)
+    ids = stage(groups.select("id").distinct(), "ids")
+    texts = among(lines, "h1", ids, "id").join(ids, F.col("h1") == F.col("id")).groupBy("h1", "h2", "len").agg(F.any_value("line").alias("line"))
+    texts = stage(texts.select(F.col("h1").alias("id"), F.struct("h1", "h2", "len").alias("node"), "line"), "texts")
+    unstage(ids)
+    links = comps = None
+    turn = 0
+    while not groups.isEmpty():
+        now = groups.join(texts, "id")
+        if comps is None:
+            now = now.withColumn("class", F.col("node"))
+        else:
+            now = now.join(comps.withColumnRenamed("id", "node"), "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
+            mixed = now.groupBy("f1", "f2").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
+            now = now.join(mixed.select("f1", "f2"), ["f1", "f2"])
+        found = stage(_cells(now, bands, turn), "found")
+        fresh = _verified(found.select("a", "b").distinct(), texts, bands)
+        if not found.isEmpty():
+            before, links = links, stage(fresh if links is None else links.union(fresh), "links")
+            if comps is not None:
+                unstage(before)
+                unstage(comps)
+            comps = stage(components(links), "classes")
+        # A group that gave nothing when all its cells were looked at never will.
+        left = groups.join(found.select("f1", "f2").distinct(), ["f1", "f2"], "left_semi")
+        if turn == 0:
+            left = left.union(groups.where(~_single()).join(found.select("f1", "f2").distinct(), ["f1", "f2"], "left_anti"))
+        before, groups = groups, stage(left, "groups")
+        unstage(before)
+        unstage(found)
+        turn += 1
+    if links is None:
+        links = stage(texts.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), "links")
+    else:
+        unstage(comps)
+    unstage(texts)
+    return links
+
+
+def _single() -> Column:
+    """Whether a group is one cell."""
+    return (F.greatest("n", "m") <= CELL_ROWS) & (F.greatest("n", "m") * F.col("size") <= CELL_CHARS)
+
+
+def _cells(rows: DataFrame, bands: Bands, turn: int) -> DataFrame:
+    """f1, f2, a, b: for every line of a cell one of another class within the threshold, if the cell has one.
+
+    rows: f1, f2, own, n, m, size, node, class, line. A cell has one block of indexed lines and one of
+    all lines of a group. Either kind looks for one of the other, in turns, so that lines which have
+    many duplicates don't hold up their classes. At first every line stands in one cell as any line.
+    """
+    per = F.greatest(F.lit(2), F.least(F.lit(CELL_ROWS), F.floor(F.lit(CELL_CHARS) / F.greatest("size", F.lit(1))))).cast("long")
+    spot = F.xxhash64("node")
+    rows = rows.withColumn("wide", F.ceil(F.col("n") / per)).withColumn("high", F.ceil(F.col("m") / per))
+    rows = rows.withColumn("i", F.pmod(spot, "high")).withColumn("j", F.pmod(F.shiftright(spot, 20), "wide"))
+    # Windows at both ends and in the middle, by which most pairs are told apart.
+    size = F.char_length("line")
+    middle = F.substring(F.col("line"), F.floor((size - WINDOW) / 2).cast("int") + 1, F.lit(WINDOW))
+    entry = F.struct("node", "class", "line", *(x.alias(n) for n, x in (("head", F.left("line", F.lit(WINDOW))), ("tail", F.right("line", F.lit(WINDOW))), ("middle", F.when(size > WINDOW, middle).otherwise("")))))
+    if turn:
+        mine, theirs = F.expr("sequence(0L, wide - 1)"), F.expr("sequence(0L, high - 1)")
+    else:
+        mine, theirs = F.expr("filter(sequence(0L, wide - 1), x -> x % high = i)"), F.expr("array(j % high)")
+    rows = rows.withColumn("entry", entry)
+    indexed = rows.where("own = 1").select("f1", "f2", "i", F.explode(mine).alias("j"), F.col("entry").alias("x"), F.lit(None).alias("y"))
+    every = rows.select("f1", "f2", F.explode(theirs).alias("i"), "j", F.lit(None).alias("x"), F.col("entry").alias("y"))
+    # A number of its own, as little data can be much work here.
+    dealt = indexed.union(every).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "f1", "f2", "i", "j")
+    cells = dealt.groupBy("f1", "f2", "i", "j").agg(F.collect_list("x").alias("xs"), F.collect_list("y").alias("ys")).where((F.size("xs") > 0) & (F.size("ys") > 0))
+    of, others = ("ys", "xs") if turn % 2 == 0 else ("xs", "ys")
+
+    def near(a: Column, b: Column) -> Column:
+        # Ends differ by twice the edits at most, as does what is aligned with them; so does the middle, whose
+        # place may differ by half the edits, too. What Spark's own bounded distance finds is decided by within().
+        def test(t: int) -> Column:
+            apart = lambda part, most: F.levenshtein(a[part], b[part], most) >= 0
+            return apart("head", 2 * t) & apart("tail", 2 * t) & (apart("middle", 3 * t + 1) | (F.least(F.char_length(a["middle"]), F.char_length(b["middle"])) == 0)) & apart("line", t)
+
+        return _edits(bands, a["line"], b["line"], test)
+
+    def first(a: Column) -> Column:
+        step = lambda k, b: F.when(k["at"] >= 0, k).otherwise(F.struct((k["next"] + 1).alias("next"), F.when(b["class"] == a["class"], F.lit(-1)).when(near(a, b), k["next"]).otherwise(F.lit(-1)).alias("at")))
+        none = F.struct(F.lit(0).alias("next"), F.lit(-1).alias("at"))
+        return F.struct(a["node"].alias("a"), F.aggregate(F.col(others), none, step, lambda k: k["at"]).alias("at"))
+
+    met = cells.select("f1", "f2", others, F.explode_outer(F.transform(of, first)).alias("p")).where("p.at >= 0")
+    other = F.get(others, F.col("p.at"))["node"]
+    return met.select("f1", "f2", F.least("p.a", other).alias("a"), F.greatest("p.a", other).alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, bands: Bands) -> DataFrame:
+    """Those of the pairs (a, b) within the threshold, decided by the banded automaton."""
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("s")), "a").join(texts.select(F.col("node").alias("b"), F.col("line").alias("t")), "b")
+    return both.where(_edits(bands, F.col("s"), F.col("t"), lambda t: within(F.col("s"), F.col("t"), t))).select("a", "b")
 
 
 def dedup_lines(documents: DataFrame, threshold: int | Bands = BANDS, least_words: int = LEAST_WORDS, short: bool = False) -> DataFrame:
@@ -177,21 +286,25 @@ def dedup_lines(documents: DataFrame, threshold: int | Bands = BANDS, least_word
     """
     rows = pick(documents, "doc_id", "text")
     lines = _lines(rows, 1 if short else least_words)
-    distinct = stage(lines.groupBy("h1", "h2", "len").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n"), F.any_value("line").alias("line")), "lines")
-    links = stage(line_links(distinct.where(_words(least_words) | (F.col("len") >= LEAST_CHARS)), _bands(threshold)), "links")
-    classes = distinct.select("h1", "h2", "len", "first", "n").join(components(links).withColumnRenamed("id", "h1"), "h1", "left")
-    linked = classes.where(F.col("component").isNotNull())
-    heads = linked.groupBy("component").agg(F.min("first").alias("head"))
-    linked = linked.join(heads, "component").select("h1", "h2", "len", "head")
-    repeated = classes.where("component is null and n > 1").select("h1", "h2", "len", F.col("first").alias("head"))
-    drop = lines.select("h1", "h2", "len", "first").join(linked.union(repeated), ["h1", "h2", "len"]).where("first != head")
+    name = ["h1", "h2", "len"]
+    links = line_links(lines.where((F.col("len") >= LEAST_CHARS) | _words(least_words)), _bands(threshold))
+    linked = components(links).select("id.*", F.col("component").alias("class"))
+    repeated = lines.groupBy(*name).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*name, F.struct(*name).alias("class"))
+    repeated = repeated.join(linked.select(*name), name, "left_anti")
+    # Lines that stand elsewhere too, or have duplicates.
+    places = stage(lines.join(stage(linked.union(repeated), "classes"), name).select("class", "first"), "places")
+    heads = places.groupBy("class").agg(F.min("first").alias("head"))
+    drop = places.join(heads, "class").where("first != head")
     drop = drop.groupBy(F.col("first.doc_id").alias("drop_id"), F.col("first.row").alias("drop_row")).agg(F.collect_set("first.pos").alias("drop_at"))
-    kept_columns = [c for c in documents.columns if c not in ("n_lines", "n_removed", "text")]
-    named = documents.select("*", F.xxhash64("doc_id", "text").alias("drop_own"))
-    both = named.join(drop, (F.col("drop_own") == F.col("drop_row")) & F.col("doc_id").eqNullSafe(F.col("drop_id")), "left")
-    parts = F.split("text", "\n")
-    kept = F.when(F.col("drop_at").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col("drop_at"), i)), "\n"))
-    return both.select(*kept_columns, kept.alias("text"), F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("drop_at"), F.lit(0)).cast("long").alias("n_removed"))
+    # Positions for names, so that no column of the input can clash with the operator's.
+    names = documents.columns
+    place = {n: f"c{k}" for k, n in reversed(list(enumerate(names)))}
+    named = documents.toDF(*(f"c{k}" for k in range(len(names)))).withColumn("own", F.xxhash64(place["doc_id"], place["text"]))
+    both = named.join(drop, (F.col("own") == F.col("drop_row")) & F.col(place["doc_id"]).eqNullSafe(F.col("drop_id")), "left")
+    parts = F.split(place["text"], "\n")
+    kept = F.when(F.col("drop_at").isNull(), F.col(place["text"])).otherwise(F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col("drop_at"), i)), "\n"))
+    others = [F.col(f"c{k}").alias(n) for k, n in enumerate(names) if n not in ("n_lines", "n_removed", "text")]
+    return both.select(*others, kept.alias("text"), F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("drop_at"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
