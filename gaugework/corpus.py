@@ -74,6 +74,8 @@ CASES: dict[str, tuple[Shape, str, str, list[tuple[str, str]]]] = {
     "reindex_concurrent": (_shape({"visit": _table(6_000_000, indexes=[Index("visit_i", ["id"], bytes=4_000_000_000)])}), "REINDEX INDEX CONCURRENTLY visit_i", "PASS", []),
     "drop_column": (_shape({"visit": _table(6_000_000)}), "ALTER TABLE visit DROP COLUMN note", "WARN", [("RS-REVERSE-001", "warn")]),
     "drop_table": (_shape({"visit": _table(6_000_000)}), "DROP TABLE IF EXISTS visit", "WARN", [("RS-REVERSE-002", "warn")]),
+    "statement_rejected": (_shape({"visit": _table(6_000_000)}), "ALTER TABLE vist ADD COLUMN note text", "FAIL", [("RS-APPLY-001", "error")]),
+    "statement_on_new_table": (_shape({"visit": _table(6_000_000)}), "CREATE TABLE note (id bigint); ALTER TABLE note ADD COLUMN body text", "PASS", []),
     "words_in_comment": (_shape({"visit": _table(6_000_000)}), "-- DROP TABLE visit;\nSELECT 1", "PASS", []),
 }
 
@@ -88,6 +90,6 @@ def case_rows() -> list[tuple[str, str, str]]:
     """(case, verdict, findings) as the engine gives them."""
     out = []
     for name, (shape, sql, _, _) in CASES.items():
-        result = validate(None, shape, split(sql, f"{name}.sql"))
+        result = validate(None, shape, split(sql, f"{name}.sql"), names=True)
         out.append((name, result.verdict, ",".join(sorted(f"{f.code}:{f.severity}" for f in result.findings))))
     return out

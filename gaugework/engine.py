@@ -108,27 +108,34 @@ def constraint_report(shape: Shape, tables: dict[str, DataFrame]) -> list[str]:
             parent, _, key = r.to.rpartition(".")
             parent = shape.resolve(parent)
             if r.validated and parent in tables:
-                guarded(f"{t}: foreign key {r.name or r.column}", lambda df=df, r=r, parent=parent, key=key: checks.orphan_fraction(df, r.column, tables[parent], key) > 0)
+                guarded(f"{t}: foreign key {r.name or r.column}", lambda df=df, r=r, parent=parent, key=key: checks.orphaned(df, [r.column], tables[parent], [key]))
     return out
 
 
-def validate(spark: SparkSession | None, shape: Shape, statements: list[Statement], tables: dict[str, DataFrame] | None = None, ephemeral: bool = False, second_scale: float | None = None, seed: int = 42, scale: float = 1.0, most: int | None = None, seconds: float = checks.STATEMENT_SECONDS) -> Result:
+def validate(spark: SparkSession | None, shape: Shape, statements: list[Statement], tables: dict[str, DataFrame] | None = None, ephemeral: bool = False, second_scale: float | None = None, seed: int = 42, scale: float = 1.0, most: int | None = None, seconds: float = checks.STATEMENT_SECONDS, names: bool = False) -> Result:
     """The verdict on a change.
 
-    Without tables or ephemeral rows only the statements are read. With `ephemeral`, rows of the
+    Without tables or ephemeral rows only the statements are read; with `names`, the document has all
+    tables and a statement on another one is refused. With `ephemeral`, rows of the
     document's shape are generated and the change is checked on them; with a second scale the
     durations of two sizes are fitted. With tables, the rows themselves are the truth and nothing is capped.
     """
     if tables is not None:
-        capture = checks.apply(spark, statements, tables, seconds)
-        return build(shape, rules.analyse(shape, capture), capture, ground_truth=True).check()
+        capture = checks.apply(spark, statements, tables, seconds, primary_keys(shape))
+        result = build(shape, rules.analyse(shape, capture), capture, ground_truth=True).check()
+        result.warnings += capture.undecided
+        return result
     if not ephemeral:
-        return build(shape, rules.analyse(shape, capture := rules.Capture.of(statements)), capture).check()
+        capture = rules.Capture.of(statements)
+        if names:
+            rules.name_errors(shape, capture)
+        return build(shape, rules.analyse(shape, capture), capture).check()
     made = hydrate.generate(spark, shape, seed, scale, most)
-    capture = checks.apply(spark, statements, made, seconds)
+    capture = checks.apply(spark, statements, made, seconds, primary_keys(shape))
+    capture.undecided = []
     capture.table_rows = hydrate.plan_rows(shape, scale, most)
     if second_scale:
-        again = checks.apply(spark, statements, hydrate.generate(spark, shape, seed, scale * second_scale, most), seconds)
+        again = checks.apply(spark, statements, hydrate.generate(spark, shape, seed, scale * second_scale, most), seconds, primary_keys(shape))
         capture.second, capture.second_rows = [s.duration_ms for s in again.statements], hydrate.plan_rows(shape, scale * second_scale, most)
     # Rows that were made up can show that a statement doesn't parse or name its tables, not that real rows break it.
     for s in capture.statements:
@@ -140,12 +147,16 @@ def validate(spark: SparkSession | None, shape: Shape, statements: list[Statemen
     return build(shape, rules.analyse(shape, capture), capture).check()
 
 
+def primary_keys(shape: Shape) -> dict[str, list[str]]:
+    return {t: list(c.columns) for t, table in shape.tables.items() for c in table.constraints if c.kind == "primary_key"}
+
+
 def ground_truth(spark: SparkSession, sources: list[Source], engine: dict, statements: list[Statement]) -> Result:
     """The verdict on a change over live tables: they are profiled whole, and every fact is exact."""
     report = profile_all(spark, sources, engine, exact=True)
     shape = drift.mark_exact(report.shape)
     result = validate(spark, shape, statements, {s.name: s.df for s in sources})
-    result.warnings = report.warnings
+    result.warnings = report.warnings + result.warnings
     return result
 
 

@@ -268,7 +268,7 @@ def build(shape: Shape, findings: list[Finding], capture=None, ground_truth: boo
         verdict = combine(verdict, "FAIL")
         if any(f.severity == "error" and f.code != "RS-APPLY-001" for f in shown):
             shown = [f for f in shown if f.code != "RS-APPLY-001"]
-    if capture is not None and capture.timed_out:
+    if capture is not None and (capture.timed_out or capture.undecided):
         verdict = combine(verdict, "WARN")
     return Result(verdict, shown, str(shape.meta.get("id", "")), str(shape.meta.get("digest", "")), capture.duration_ms if capture else 0)
 

@@ -434,6 +434,46 @@ def validate_unique_text(spark, sf_dir):
     return spark.createDataFrame([(result.verdict, found)], "verdict string, code string")
 
 
+#: Scripts, and whether the rows stop them: a code, and the SQL that tells when. `t` has a null in `a` for every seventh order.
+_SCRIPTS = (
+    ("not_null", "ALTER TABLE t ALTER a SET NOT NULL", "23502", "SELECT count(*) > 0 FROM t WHERE a IS NULL"),
+    ("backfill", "UPDATE t SET a = 0 WHERE a IS NULL; ALTER TABLE t ALTER a SET NOT NULL", "23502", "SELECT count(*) > 0 FROM (SELECT coalesce(a, 0) AS a FROM t) WHERE a IS NULL"),
+    ("deletion", "DELETE FROM t WHERE a IS NULL; ALTER TABLE t ALTER a SET NOT NULL", "23502", "SELECT count(*) > 0 FROM (SELECT * FROM t WHERE a IS NOT NULL) WHERE a IS NULL"),
+    ("partly", "DELETE FROM t WHERE a IS NULL AND o_orderkey > 100; ALTER TABLE t ALTER a SET NOT NULL", "23502", "SELECT count(*) > 0 FROM t WHERE a IS NULL AND NOT o_orderkey > 100"),
+    ("insertion", "DELETE FROM t WHERE a IS NULL; INSERT INTO t (o_orderkey) VALUES (-1); ALTER TABLE t ALTER a SET NOT NULL", "23502", "SELECT true"),
+    ("default", "ALTER TABLE t ADD COLUMN z int DEFAULT 0; ALTER TABLE t ALTER z SET NOT NULL", "23502", "SELECT count(*) > 0 FROM (SELECT 0 AS z FROM t) WHERE z IS NULL"),
+    ("no_default", "ALTER TABLE t ADD COLUMN z int NOT NULL", "23502", "SELECT count(*) > 0 FROM t"),
+    ("new_table", "CREATE TABLE n (id bigint); ALTER TABLE n ADD COLUMN b text NOT NULL", "42P01", "SELECT false"),
+    ("renamed", "ALTER TABLE t RENAME COLUMN a TO b; ALTER TABLE t DROP COLUMN b; ALTER TABLE t DROP COLUMN a", "42703", "SELECT true"),
+    ("foreign_key", "ALTER TABLE t ADD FOREIGN KEY (a) REFERENCES c(key)", "23503", "SELECT count(*) > 0 FROM t WHERE a IS NOT NULL AND a NOT IN (SELECT c_custkey FROM customer)"),
+    ("orphans", "DELETE FROM c WHERE key <= 50; ALTER TABLE t ADD CONSTRAINT f FOREIGN KEY (a) REFERENCES c(key) NOT VALID; ALTER TABLE t VALIDATE CONSTRAINT f", "23503", "SELECT count(*) > 0 FROM t WHERE a IS NOT NULL AND a NOT IN (SELECT c_custkey FROM customer WHERE c_custkey > 50)"),
+    ("composite_key", "ALTER TABLE l ADD FOREIGN KEY (k, b) REFERENCES t(o_orderkey, o_custkey)", "23503", "SELECT count(*) > 0 FROM lineitem, orders WHERE l_orderkey = o_orderkey AND l_linenumber = 3 AND o_custkey % 11 = 5"),
+    ("partial_unique", "CREATE UNIQUE INDEX u ON t (o_custkey) WHERE o_orderstatus = 'P'", "23505", "SELECT count(*) > count(DISTINCT o_custkey) FROM orders WHERE o_orderstatus = 'P'"),
+    ("expression_unique", "CREATE UNIQUE INDEX u ON t ((o_orderkey % 1000))", "23505", "SELECT count(*) > count(DISTINCT o_orderkey % 1000) FROM orders"),
+    ("unique_after_deletion", "DELETE FROM t WHERE o_orderkey % 1000 <> 7; ALTER TABLE t ADD UNIQUE (o_orderkey)", "23505", "SELECT count(*) > count(DISTINCT o_orderkey) FROM orders WHERE o_orderkey % 1000 = 7"),
+    ("no_table", "ALTER TABLE nowhere ADD COLUMN x int", "42P01", "SELECT true"),
+)
+_SCRIPT_ROWS = "WITH t AS (SELECT *, CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS a FROM orders) "
+
+
+@query(_SCRIPT_ROWS + " UNION ALL ".join(f"SELECT '{n}' AS script, CASE WHEN ({test}) THEN '{code}' ELSE '' END AS error_code" for n, _, code, test in _SCRIPTS))
+def apply_changes(spark, sf_dir):
+    """The code that stops each script on the rows, earlier statements carried out."""
+    from .operators.checks import apply
+
+    orders = read(spark, sf_dir, "orders")
+    tables = {
+        "t": orders.withColumn("a", F.expr("CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END")),
+        "c": read(spark, sf_dir, "customer").select("c_name", F.col("c_custkey").alias("key")),
+        "l": read(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").alias("k"), F.expr("o_custkey + CASE WHEN l_linenumber = 3 AND o_custkey % 11 = 5 THEN 1 ELSE 0 END").alias("b")),
+    }
+    out = []
+    for name, script, *_ in _SCRIPTS:
+        capture = apply(spark, split(script), tables)
+        out.append((name, next((s.error_code for s in capture.statements if s.error_code), "")))
+    return spark.createDataFrame(out, "script string, error_code string")
+
+
 _CHECKS = (("lineitem", "l_discount < 0.05"), ("customer", "c_acctbal >= 0"), ("orders", "o_totalprice > 0"))
 
 

@@ -6,13 +6,15 @@ import pytest
 from gaugework import engine
 from gaugework.corpus import CASES, STATEMENTS
 from gaugework.model import Column, Constraint, Fact, Index, Reference, Shape, ShapeError, Table, UserType
+from gaugework.operators import checks
 from gaugework.plans import ddl, drift, rules, statements, verdict
+from gaugework.sources.tables import Source
 
 
 @pytest.mark.parametrize("name", CASES)
 def test_corpus(name):
     shape, sql, expected, found = CASES[name]
-    result = engine.validate(None, shape, statements.split(sql, "m.sql"))
+    result = engine.validate(None, shape, statements.split(sql, "m.sql"), names=True)
     assert result.verdict == expected
     assert sorted((f.code, f.severity) for f in result.findings) == sorted(found)
     for f in result.findings:
@@ -158,3 +160,70 @@ def test_runner_detection(tmp_path):
     assert engine.detect_runner(tmp_path) == "alembic"
     with pytest.raises(verdict.ToolError):
         engine.read_migrations(tmp_path / "none.sql")
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    return {
+        "t": spark.createDataFrame([(1, None, "x", True), (2, 5, "x", False), (3, 6, None, True)], "id long, a int, s string, live boolean"),
+        "c": spark.createDataFrame([("n", 5, 1), ("m", 6, 2), ("o", 7, 3)], "name string, id long, a int"),
+    }
+
+
+@pytest.mark.parametrize(
+    "sql, code",
+    [
+        ("ALTER TABLE t ALTER a SET NOT NULL", "23502"),
+        ("UPDATE t SET a=0 WHERE a IS NULL; ALTER TABLE t ALTER a SET NOT NULL", ""),
+        ("UPDATE t AS x SET a = x.id, s = 'a''b' WHERE x.a IS NULL; ALTER TABLE t ALTER a SET NOT NULL", ""),
+        ("UPDATE t SET a=0 WHERE id = 9; ALTER TABLE t ALTER a SET NOT NULL", "23502"),
+        ("DELETE FROM t WHERE a IS NULL; ALTER TABLE t ALTER a SET NOT NULL", ""),
+        ("DELETE FROM t; ALTER TABLE t ALTER a SET NOT NULL", ""),
+        ("ALTER TABLE t ADD COLUMN z int DEFAULT 0; ALTER TABLE t ALTER z SET NOT NULL", ""),
+        ("ALTER TABLE t ADD COLUMN z int; ALTER TABLE t ALTER z SET NOT NULL", "23502"),
+        ("ALTER TABLE t ADD COLUMN z int NOT NULL", "23502"),
+        ("ALTER TABLE t ADD COLUMN z int NOT NULL DEFAULT 4", ""),
+        ("ALTER TABLE t ADD COLUMN a int", "42701"),
+        ("ALTER TABLE t ADD COLUMN IF NOT EXISTS a int", ""),
+        ("CREATE TABLE n (id bigint, b text, PRIMARY KEY (id)); ALTER TABLE n ADD COLUMN c int NOT NULL; ALTER TABLE n ALTER b SET NOT NULL", ""),
+        ("CREATE TABLE t (id bigint)", "42P07"),
+        ("ALTER TABLE t RENAME COLUMN a TO b; ALTER TABLE t DROP COLUMN b", ""),
+        ("ALTER TABLE t RENAME COLUMN a TO b; ALTER TABLE t DROP COLUMN a", "42703"),
+        ("ALTER TABLE t RENAME TO u; ALTER TABLE u DROP COLUMN a", ""),
+        ("ALTER TABLE t ADD FOREIGN KEY (a) REFERENCES c(id)", ""),
+        ("ALTER TABLE t ADD FOREIGN KEY (a) REFERENCES c(a)", "23503"),
+        ("ALTER TABLE t ADD FOREIGN KEY (a, id) REFERENCES c(id, a)", "23503"),
+        ("ALTER TABLE t ADD FOREIGN KEY (a) REFERENCES c(nope)", "42703"),
+        ("CREATE UNIQUE INDEX u ON t (s) WHERE live", ""),
+        ("CREATE UNIQUE INDEX u ON t (s) WHERE id < 3", "23505"),
+        ("CREATE UNIQUE INDEX u ON t (lower(s))", "23505"),
+        ("INSERT INTO t VALUES (4, 5, 'y', true); ALTER TABLE t ADD UNIQUE (a)", "23505"),
+        ("INSERT INTO t (id, s) VALUES (4, 'y'), (5, 'z'); ALTER TABLE t ADD UNIQUE (a)", ""),
+        ("TRUNCATE t; ALTER TABLE t ALTER a SET NOT NULL", ""),
+        ('UPDATE t SET "a" = 1 WHERE "a" IS NULL; ALTER TABLE t ALTER a SET NOT NULL', ""),
+    ],
+)
+def test_apply_carries_changes_of_rows_out(spark, small, sql, code):
+    capture = checks.apply(spark, statements.split(sql), small)
+    assert next((s.error_code for s in capture.statements if s.error_code), "") == code and not capture.undecided
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "UPDATE t SET a = unheard_of(a); ALTER TABLE t ALTER a SET NOT NULL",
+        "UPDATE t SET a = c.a FROM c WHERE c.id = t.id; ALTER TABLE t ALTER a SET NOT NULL",
+        "INSERT INTO t SELECT * FROM c; ALTER TABLE t ALTER a SET NOT NULL",
+        "CREATE TABLE n AS SELECT * FROM t; ALTER TABLE n ALTER a SET NOT NULL",
+    ],
+)
+def test_what_rows_cannot_decide_never_fails(spark, small, sql):
+    capture = checks.apply(spark, statements.split(sql), small)
+    assert capture.undecided and (capture.success or "n ALTER" in sql)
+
+
+def test_ground_truth_after_a_backfill(spark, small):
+    source = Source("t", small["t"])
+    engine_ = {"name": "postgresql", "version": "16"}
+    assert engine.ground_truth(spark, [source], engine_, statements.split("ALTER TABLE t ALTER a SET NOT NULL")).verdict == "FAIL"
+    assert engine.ground_truth(spark, [source], engine_, statements.split("UPDATE t SET a=0 WHERE a IS NULL; ALTER TABLE t ALTER a SET NOT NULL")).verdict == "PASS"
