@@ -111,8 +111,9 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(hostile).alias("text"),
     )
-    done = format_conversations(rows.union(extra))
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    done = format_conversations(rows.union(extra), spans=True)
+    # What the mask covers in the formatted text, not what the parser read.
+    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))), "")
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return done.select("conv_id", "formatted", F.size("turns").cast("long").alias("n_turns"), said.alias("said"), loss.alias("loss"), "intact").select(
         "conv_id",
@@ -136,9 +137,10 @@ WITH r AS (
 ), g AS (
   SELECT conv_id, count(*)::BIGINT AS n_turns,
     sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
-    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
-    sum(12 + length(role) + 1 + length(CASE WHEN clash THEN regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') ELSE text END) + 11)::BIGINT AS formatted_chars
-  FROM f GROUP BY conv_id)
-SELECT conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, true AS intact FROM g
+    string_agg('<|im_start|>' || role || chr(10) || CASE WHEN clash THEN regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') ELSE text END || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS formatted
+  FROM f GROUP BY conv_id
+), h AS (
+  SELECT *, array_to_string(list_transform(regexp_extract_all(formatted, '<\|im_start\|>assistant\n(.*?)<\|im_end\|>', 1, 's'), lambda x: regexp_replace(x, '<\\(\\*)\|', '<\1|', 'g')), '') AS loss FROM g)
+SELECT conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, length(formatted)::BIGINT AS formatted_chars, true AS intact FROM h
 """
 }
