@@ -9,12 +9,11 @@ those of its substrings that can match when errors between the end and the segme
 
 Only the classes of duplicates matter, so candidates are never written out pair by pair. The lines
 that share an index key form a group, and groups of equal members are one. Groups meet in cells of
-bounded size, each of them one row that holds its lines; a cell gives, for each of its lines, at
-most one duplicate from another class. Every one given is verified by a banded automaton of bit-parallel
-steps. First each line meets one block of its group, and then, while classes still grow, every cell
-with lines of different classes is looked at again. Each round merges every class that has a
-duplicate outside, so there are no more rounds than the logarithm of the largest class. Of each class
-the first occurrence stays, in order of doc_id and place.
+bounded size, each of them one row that holds its lines. At first every line looks for one duplicate
+in one block of its group, twice with other blocks; what that links becomes classes. Then all cells
+with lines of different classes are looked at whole, and each line gives one duplicate of every other
+class that has one. Whatever is linked is verified by a banded automaton of bit-parallel steps. Of
+each class the first occurrence stays, in order of doc_id and place.
 """
 
 from __future__ import annotations
@@ -27,9 +26,11 @@ from pyspark.sql import functions as F
 from .common import among, blank, components, pick, stage, table, unstage
 
 #: Edits that duplicates may differ by, as (characters of the shorter line from which they hold, edits).
-BANDS = ((0, 1), (40, 2), (120, 3))
+BANDS = ((0, 1), (40, 2))
 #: Words, or characters in languages without blanks, that a line needs to be compared but for exact copies.
 LEAST_WORDS, LEAST_CHARS = 5, 20
+#: Letters whose counts tell lines apart before anything else is compared; others aren't looked at.
+LETTERS = "etaoinsrhldcumfpgwybvkxjqz 0123456789" + "\u043e\u0435\u0430\u0438\u043d\u0442\u0441\u0440\u0432\u043b\u03b1\u03bf\u03b9\u03b5"
 #: Characters of the windows that are compared before whole lines.
 WINDOW = 40
 #: Lines, and characters of all lines, of one kind in a cell; two lines are always allowed.
@@ -155,15 +156,26 @@ def _edits(bands: Bands, a: Column, b: Column, test: Callable[[int], Column]) ->
     return near
 
 
+def _letters() -> Column:
+    """For each of the LETTERS whether it stands an odd number of times in the line."""
+    size = F.octet_length("line")
+    bits = F.lit(0).cast("long")
+    for k, c in enumerate(LETTERS):
+        odd = (size - F.octet_length(F.replace(F.col("line"), F.lit(c), F.lit("")))) / len(c.encode()) % 2
+        bits += F.shiftleft(odd.cast("long"), k)
+    return bits.alias("letters")
+
+
 def _groups(lines: DataFrame, bands: Bands) -> DataFrame:
     """f1, f2 (the group), id, own, and of the group n lines, m of them indexed, and its longest line's size; staged."""
-    index = _index(lines, bands)
+    index = stage(_index(lines, bands), "index")
     # Extremes are combined before the shuffle; a key with one line, which most have, ends here.
     shared = index.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("own").alias("own")).where("low < high and own = 1")
     shared = stage(shared.select("key"), "keys")
     # A line may meet a key by several of its substrings, and stand in several places.
     rows = index.join(shared, "key").groupBy("key", "id").agg(F.max("own").alias("own"), F.max("len").alias("len"))
     rows = stage(rows, "members")
+    unstage(index)
     mark = lambda seed: F.bit_xor(F.xxhash64("id", "own", F.lit(seed)))
     whole = rows.groupBy("key").agg(mark(0).alias("f1"), mark(1).alias("f2"), F.count(F.lit(1)).alias("n"), F.sum("own").alias("m"), F.max("len").alias("size"))
     groups = stage(rows.join(whole, "key").select("f1", "f2", "id", "own", "n", "m", "size").distinct(), "groups")
@@ -180,38 +192,29 @@ def line_links(lines: DataFrame, bands: Bands) -> DataFrame:
     groups = _groups(lines, bands)
     ids = stage(groups.select("id").distinct(), "ids")
     texts = among(lines, "h1", ids, "id").join(ids, F.col("h1") == F.col("id")).groupBy("h1", "h2", "len").agg(F.any_value("line").alias("line"))
-    texts = stage(texts.select(F.col("h1").alias("id"), F.struct("h1", "h2", "len").alias("node"), "line"), "texts")
+    texts = stage(texts.select(F.col("h1").alias("id"), F.struct("h1", "h2", "len").alias("node"), "line", _letters()), "texts")
     unstage(ids)
-    links = comps = None
-    turn = 0
-    while not groups.isEmpty():
-        now = groups.join(texts, "id")
-        if comps is None:
-            now = now.withColumn("class", F.col("node"))
-        else:
-            now = now.join(comps.withColumnRenamed("id", "node"), "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
+    links = stage(texts.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), "links")
+    comps = components(links)
+    # Two looks at one block each, then one at all. A group of one cell that gave nothing at the first never will.
+    for turn in range(3):
+        part = groups.where(~_single()) if turn == 1 else groups
+        now = part.join(texts, "id").join(comps.withColumnRenamed("id", "node"), "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
+        if turn:
             mixed = now.groupBy("f1", "f2").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
             now = now.join(mixed.select("f1", "f2"), ["f1", "f2"])
         found = stage(_cells(now, bands, turn), "found")
-        fresh = _verified(found.select("a", "b").distinct(), texts, bands)
         if not found.isEmpty():
-            before, links = links, stage(fresh if links is None else links.union(fresh), "links")
-            if comps is not None:
-                unstage(before)
-                unstage(comps)
-            comps = stage(components(links), "classes")
-        # A group that gave nothing when all its cells were looked at never will.
-        left = groups.join(found.select("f1", "f2").distinct(), ["f1", "f2"], "left_semi")
+            pairs = found.groupBy("ca", "cb").agg(F.min(F.struct("a", "b")).alias("p")) if turn == 2 else found
+            pairs = pairs.select("p.*").distinct() if turn == 2 else pairs.select("a", "b").distinct()
+            before, links = links, stage(links.union(_verified(pairs, texts, bands)), "links")
+            unstage(before)
+            comps = components(links)
         if turn == 0:
-            left = left.union(groups.where(~_single()).join(found.select("f1", "f2").distinct(), ["f1", "f2"], "left_anti"))
-        before, groups = groups, stage(left, "groups")
-        unstage(before)
+            before, groups = groups, stage(groups.where(~_single()).unionByName(groups.where(_single()).join(found.select("f1", "f2").distinct(), ["f1", "f2"], "left_semi")), "groups")
+            unstage(before)
         unstage(found)
-        turn += 1
-    if links is None:
-        links = stage(texts.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), "links")
-    else:
-        unstage(comps)
+    unstage(groups)
     unstage(texts)
     return links
 
@@ -222,21 +225,22 @@ def _single() -> Column:
 
 
 def _cells(rows: DataFrame, bands: Bands, turn: int) -> DataFrame:
-    """f1, f2, a, b: for every line of a cell one of another class within the threshold, if the cell has one.
+    """f1, f2, a, b, ca, cb: pairs within the threshold of different classes ca and cb that meet in a cell.
 
-    rows: f1, f2, own, n, m, size, node, class, line. A cell has one block of indexed lines and one of
-    all lines of a group. Either kind looks for one of the other, in turns, so that lines which have
-    many duplicates don't hold up their classes. At first every line stands in one cell as any line.
+    rows: f1, f2, own, n, m, size, node, class, line, letters. A cell has one block of indexed lines and
+    one of all lines of a group. In the last turn every cell is looked at, and each line gives a pair for
+    every class it has a duplicate in; before, each stands in one cell and gives one pair.
     """
+    whole = turn == 2
     per = F.greatest(F.lit(2), F.least(F.lit(CELL_ROWS), F.floor(F.lit(CELL_CHARS) / F.greatest("size", F.lit(1))))).cast("long")
-    spot = F.xxhash64("node")
+    spot = F.xxhash64("node", F.lit(turn))
     rows = rows.withColumn("wide", F.ceil(F.col("n") / per)).withColumn("high", F.ceil(F.col("m") / per))
     rows = rows.withColumn("i", F.pmod(spot, "high")).withColumn("j", F.pmod(F.shiftright(spot, 20), "wide"))
     # Windows at both ends and in the middle, by which most pairs are told apart.
     size = F.char_length("line")
     middle = F.substring(F.col("line"), F.floor((size - WINDOW) / 2).cast("int") + 1, F.lit(WINDOW))
-    entry = F.struct("node", "class", "line", *(x.alias(n) for n, x in (("head", F.left("line", F.lit(WINDOW))), ("tail", F.right("line", F.lit(WINDOW))), ("middle", F.when(size > WINDOW, middle).otherwise("")))))
-    if turn:
+    entry = F.struct("node", "class", "line", "letters", *(x.alias(n) for n, x in (("head", F.left("line", F.lit(WINDOW))), ("tail", F.right("line", F.lit(WINDOW))), ("middle", F.when(size > WINDOW, middle).otherwise("")))))
+    if whole:
         mine, theirs = F.expr("sequence(0L, wide - 1)"), F.expr("sequence(0L, high - 1)")
     else:
         mine, theirs = F.expr("filter(sequence(0L, wide - 1), x -> x % high = i)"), F.expr("array(j % high)")
@@ -246,25 +250,31 @@ def _cells(rows: DataFrame, bands: Bands, turn: int) -> DataFrame:
     # A number of its own, as little data can be much work here.
     dealt = indexed.union(every).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "f1", "f2", "i", "j")
     cells = dealt.groupBy("f1", "f2", "i", "j").agg(F.collect_list("x").alias("xs"), F.collect_list("y").alias("ys")).where((F.size("xs") > 0) & (F.size("ys") > 0))
-    of, others = ("ys", "xs") if turn % 2 == 0 else ("xs", "ys")
 
     def near(a: Column, b: Column) -> Column:
-        # Ends differ by twice the edits at most, as does what is aligned with them; so does the middle, whose
-        # place may differ by half the edits, too. What Spark's own bounded distance finds is decided by within().
+        # An edit turns two letters' parities at most. Ends differ by twice the edits at most, as does what is
+        # aligned with them; so does the middle, whose place may differ by half the edits, too. What Spark's
+        # own bounded distance finds is decided by within() in the end.
         def test(t: int) -> Column:
             apart = lambda part, most: F.levenshtein(a[part], b[part], most) >= 0
-            return apart("head", 2 * t) & apart("tail", 2 * t) & (apart("middle", 3 * t + 1) | (F.least(F.char_length(a["middle"]), F.char_length(b["middle"])) == 0)) & apart("line", t)
+            letters = F.bit_count(a["letters"].bitwiseXOR(b["letters"])) <= 2 * t
+            return letters & apart("head", 2 * t) & apart("tail", 2 * t) & (apart("middle", 3 * t + 1) | (F.least(F.char_length(a["middle"]), F.char_length(b["middle"])) == 0)) & apart("line", t)
 
         return _edits(bands, a["line"], b["line"], test)
 
-    def first(a: Column) -> Column:
-        step = lambda k, b: F.when(k["at"] >= 0, k).otherwise(F.struct((k["next"] + 1).alias("next"), F.when(b["class"] == a["class"], F.lit(-1)).when(near(a, b), k["next"]).otherwise(F.lit(-1)).alias("at")))
-        none = F.struct(F.lit(0).alias("next"), F.lit(-1).alias("at"))
-        return F.struct(a["node"].alias("a"), F.aggregate(F.col(others), none, step, lambda k: k["at"]).alias("at"))
+    def hits(a: Column) -> Column:
+        """Places of the indexed lines that a is linked with."""
+        known = lambda k, b: F.exists(k["at"], lambda p: F.get("xs", p)["class"] == b["class"])
+        done = known if whole else lambda k, b: F.size(k["at"]) > 0
+        step = lambda k, b: F.struct((k["next"] + 1).alias("next"), F.when((a["class"] == b["class"]) | done(k, b), k["at"]).when(near(a, b), F.concat(k["at"], F.array(k["next"]))).otherwise(k["at"]).alias("at"))
+        return F.aggregate("xs", F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("at")), step, lambda k: k["at"])
 
-    met = cells.select("f1", "f2", others, F.explode_outer(F.transform(of, first)).alias("p")).where("p.at >= 0")
-    other = F.get(others, F.col("p.at"))["node"]
-    return met.select("f1", "f2", F.least("p.a", other).alias("a"), F.greatest("p.a", other).alias("b")).distinct()
+    met = cells.select("f1", "f2", "xs", F.explode_outer(F.transform("ys", lambda a: F.struct(a["node"].alias("a"), a["class"].alias("ca"), hits(a).alias("at")))).alias("p")).where(F.size("p.at") > 0)
+    met = met.select("f1", "f2", "p.a", "p.ca", F.explode_outer(F.transform("p.at", lambda k: F.get("xs", k))).alias("x")).select("f1", "f2", "a", "ca", F.col("x.node").alias("b"), F.col("x.class").alias("cb"))
+    turned = F.col("a") > F.col("b")
+    pair = lambda x, y: (F.when(turned, F.col(y)).otherwise(F.col(x)), F.when(turned, F.col(x)).otherwise(F.col(y)))
+    (a, b), (ca, cb) = pair("a", "b"), pair("ca", "cb")
+    return met.select("f1", "f2", a.alias("a"), b.alias("b"), ca.alias("ca"), cb.alias("cb")).distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, bands: Bands) -> DataFrame:
@@ -285,14 +295,17 @@ def dedup_lines(documents: DataFrame, threshold: int | Bands = BANDS, least_word
     an empty table gives no rows.
     """
     rows = pick(documents, "doc_id", "text")
-    lines = _lines(rows, 1 if short else least_words)
+    lines = stage(_lines(rows, 1 if short else least_words), "lines")
     name = ["h1", "h2", "len"]
     links = line_links(lines.where((F.col("len") >= LEAST_CHARS) | _words(least_words)), _bands(threshold))
     linked = components(links).select("id.*", F.col("component").alias("class"))
     repeated = lines.groupBy(*name).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*name, F.struct(*name).alias("class"))
     repeated = repeated.join(linked.select(*name), name, "left_anti")
     # Lines that stand elsewhere too, or have duplicates.
-    places = stage(lines.join(stage(linked.union(repeated), "classes"), name).select("class", "first"), "places")
+    known = stage(linked.union(repeated), "classes")
+    places = stage(lines.join(known, name).select("class", "first"), "places")
+    for done in (lines, links, known):
+        unstage(done)
     heads = places.groupBy("class").agg(F.min("first").alias("head"))
     drop = places.join(heads, "class").where("first != head")
     drop = drop.groupBy(F.col("first.doc_id").alias("drop_id"), F.col("first.row").alias("drop_row")).agg(F.collect_set("first.pos").alias("drop_at"))
@@ -303,8 +316,9 @@ def dedup_lines(documents: DataFrame, threshold: int | Bands = BANDS, least_word
     both = named.join(drop, (F.col("own") == F.col("drop_row")) & F.col(place["doc_id"]).eqNullSafe(F.col("drop_id")), "left")
     parts = F.split(place["text"], "\n")
     kept = F.when(F.col("drop_at").isNull(), F.col(place["text"])).otherwise(F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col("drop_at"), i)), "\n"))
-    others = [F.col(f"c{k}").alias(n) for k, n in enumerate(names) if n not in ("n_lines", "n_removed", "text")]
-    return both.select(*others, kept.alias("text"), F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("drop_at"), F.lit(0)).cast("long").alias("n_removed"))
+    others = [k for k, n in enumerate(names) if n not in ("n_lines", "n_removed", "text")]
+    out = both.select(*(f"c{k}" for k in others), kept.alias("kept"), F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("lines"), F.coalesce(F.size("drop_at"), F.lit(0)).cast("long").alias("removed"))
+    return out.toDF(*(names[k] for k in others), "text", "n_lines", "n_removed")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
