@@ -1,69 +1,126 @@
 """Main text of web pages by templates deduced from the pages of a host.
 
-A page's tokens are its container elements, told apart by their path, and its text blocks. Tokens
-with the same occurrence vector over the pages of a host form an equivalence class; the vector is
-kept as sums of keyed page hashes times counts, which add up in any order. The class that occurs
-once on every page is the host's template: its blocks of text are boilerplate, and its containers
-nest into a skeleton whose slot with most of the article text is extracted. Elements that by their
-name hold menus, headers, footers, sidebars, notices, adverts, forms, scripts or comments are no slots.
+A page's tokens are its boxes (elements that hold others), told apart by their path, and its text
+blocks. Tokens with the same occurrence vector over the pages of a host form an equivalence class; the
+vector is kept as sums of keyed page hashes times counts, which add up in any order. Classes on enough
+of the pages are checked: they are valid if their tokens stand in one order on all pages and nest in
+one gap of the host's largest class. Boxes of classes nest by their paths into the template and cut a
+page into slots; blocks of valid classes are the template's own text. The slot with the article is the
+one with most of the text, by what the names of its elements say; of the slots within it those that
+are named after something else, such as adverts or comments, go, and so does the template's own text.
+Names never take anything away that isn't a slot of the template.
 """
 
 from __future__ import annotations
 
 import hashlib
 import html as entities
+import json
 import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, ready_python, stage, table
+from .common import pick, ready_python, stage, table, unstage
 
-#: Pages that a host needs before a block on each of them counts as boilerplate.
-LEAST_PAGES = 8
+#: Share of a host's different pages on which a class must stand for its boxes to cut slots, and for its
+#: blocks to be the template's text within the article; and pages that the latter takes at least.
+BOX_SHARE, TEXT_SHARE, TEXT_PAGES = 0.2, 0.9, 3
+#: Paths and templates that a Python worker remembers; beyond it the memory starts anew.
+KEPT_PATHS, KEPT_HOSTS = 200_000, 64
 
 # Element names of HTML by what they mean for text.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-DROPPED = frozenset("script style head title noscript template iframe object svg canvas math audio video map form button select textarea input label fieldset nav footer aside menu dialog".split())
+DROPPED = frozenset("script style head title noscript template iframe object svg canvas audio video map form button select textarea input nav footer aside menu dialog".split())
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe")
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var ruby rb rt rp nobr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var ruby rb rt rp nobr math mi mo mn mrow mfrac msup msub msqrt semantics annotation".split())
+CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody tfoot caption blockquote pre figure figcaption address hgroup summary".split())
 MAIN = ("article", "main")
-# Words in class, id or role that name something other than the article.
+# Words in class, id or role that name something other than the article, and words that go along with them.
 OTHER_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "sidebar aside side widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager footer copyright comment comments disqus reply replies respond discussion "
+    "sidebar aside widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager footer copyright comment comments disqus reply replies respond "
     "share sharing social related recommended recommendations newsletter subscribe subscription signup login search toolbar skip contentinfo complementary".split()
 )
+SHAPE_WORDS = frozenset("a the to for of by site page main top bottom left right side inner outer box slot block area section container content wrapper wrap bar list item items link links button buttons form icon icons post posts article articles story stories unit row column header head title form text js".split())
 TOP_WORDS = frozenset("header masthead topbar head".split())
-COMMENT_WORDS = frozenset("comment comments reply replies respond disqus discussion".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:\"[^\"]*\"|'[^']*'|[^>\"'])*(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:\"[^\"]*\"|'[^']*'|[^>\"'])*+(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"\s(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\s(?:hidden(?=[\s/>=])|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _END = {t: re.compile(rf"</{t}\s*(?:>|\Z)", re.I) for t in RAW}
+_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}
+_STOPS = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",)}
+
+
+def _digest(*parts: object) -> int:
+    return int.from_bytes(hashlib.blake2b("\0".join(map(str, parts)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+_paths: dict[tuple[int, str], int] = {}
+
+
+def path_of(parent: int, label: str) -> int:
+    """The path of an element with this label within the parent path, as a hash."""
+    found = _paths.get((parent, label))
+    if found is None:
+        if len(_paths) >= KEPT_PATHS:
+            _paths.clear()
+        found = _paths[parent, label] = _digest(parent, label)
+    return found
+
+
+def named_otherwise(words: list[str], top: bool) -> bool:
+    """Whether a name says that an element isn't the article: no word of it speaks of anything else."""
+    odd = [w for w in words if w in OTHER_WORDS or top and w in TOP_WORDS]
+    return bool(odd) and all(w in OTHER_WORDS or w in SHAPE_WORDS or top and w in TOP_WORDS for w in words)
+
+
+class Box:
+    """An element that isn't inline: its path, the box above, whether its text is left out and whether it is named otherwise."""
+
+    __slots__ = ("path", "above", "name", "dropped", "other", "inside", "chars")
+
+    def __init__(self, path, above, name, dropped, other, inside):
+        self.path, self.above, self.name, self.dropped, self.other, self.inside, self.chars = path, above, name, dropped, other, inside, 0
 
 
 class Page:
-    """Text blocks of a page, in order, each with the path of its container and whether its elements are no slots."""
+    """Boxes and text blocks of a page in order. A block is (text, box); its elements of content belong to the box around them.
 
-    __slots__ = ("blocks", "opened")
+    Time and memory are linear in the page, however deep it nests.
+    """
+
+    __slots__ = ("boxes", "blocks", "order")
 
     def __init__(self, source: str | None):
-        self.blocks: list[tuple[str, tuple[str, ...], bool]] = []
-        self.opened: dict[str, int] = {}
-        # A level: element, path (None for inline elements), dropped, within an article or main element.
-        stack: list[tuple[str, tuple[str, ...], bool, bool]] = [("", (), False, False)]
+        self.boxes = [Box(0, None, "", False, False, False)]
+        self.blocks: list[tuple[str, Box]] = []
+        self.order: list[int] = []  # boxes as their numbers, blocks as -1 - theirs
+        # A level: element, its box, whether its text is left out, path with the elements of content.
+        stack = [("", self.boxes[0], False)]
+        open_: dict[str, int] = {}
         text: list[str] = []
 
         def flush():
             if text:
                 block = " ".join(entities.unescape("".join(text)).split())
                 text.clear()
-                if block:
-                    self.blocks.append((block, stack[-1][1], stack[-1][2]))
+                if block and not stack[-1][2]:
+                    self.order.append(-1 - len(self.blocks))
+                    self.blocks.append((block, stack[-1][1]))
+
+        def cut(k):
+            for level in stack[k:]:
+                open_[level[0]] -= 1
+            del stack[k:]
+
+        def push(name, box, dropped):
+            open_[name] = open_.get(name, 0) + 1
+            stack.append((name, box, dropped))
 
         source, at = source or "", 0
         while True:
@@ -83,11 +140,13 @@ class Page:
                     continue
                 if name not in INLINE:
                     flush()
+                if not open_.get(name):
+                    continue
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == name:
                         if stack[-1][2] != stack[k - 1][2]:
                             flush()
-                        del stack[k:]
+                        cut(k)
                         break
                     if name in INLINE and stack[k][0] not in INLINE:
                         break
@@ -95,10 +154,10 @@ class Page:
             plain = len(tag) == len(name) + 2
             if name in INLINE:
                 if not plain and not tag.endswith("/>"):
-                    drop = stack[-1][2] or self._other(name, tag, True)[0]
+                    drop = stack[-1][2] or bool(_HIDDEN.search(tag))
                     if drop != stack[-1][2]:
                         flush()
-                    stack.append((name, stack[-1][1], drop, stack[-1][3]))
+                    push(name, stack[-1][1], drop)
                 continue
             flush()
             if name in VOID:
@@ -107,52 +166,57 @@ class Page:
                 end = _END[name].search(source, at)
                 at = end.end() if end else len(source)
                 continue
-            self._close_implied(stack, name)
-            _, path, dropped, inside = stack[-1]
-            other, label = (False, name) if plain else self._other(name, tag, inside)
-            path = (*path, label)
-            inside = inside or name in MAIN
-            dropped = dropped or other or name in DROPPED or (name == "header" and not inside)
-            stack.append((name, path, dropped, inside))
-            if name != "p" and not dropped:
-                key = ">".join(path)
-                self.opened[key] = self.opened.get(key, 0) + 1
+            ends = (*_ENDS.get(name, ()), "p")
+            if any(open_.get(e) for e in ends):
+                self._close_implied(stack, name, ends, cut)
+            _, above, dropped = stack[-1]
+            hidden, other, label = (False, False, name) if plain else self._named(name, tag, above.inside)
+            dropped = dropped or hidden or name in DROPPED or (name == "header" and not above.inside)
+            box = above
+            if name not in CONTENT:
+                box = Box(path_of(above.path, label), above, name, dropped, other, above.inside or name in MAIN and not other)
+                if not dropped:
+                    self.order.append(len(self.boxes))
+                    self.boxes.append(box)
+            push(name, box, dropped)
             if tag.endswith("/>"):
-                stack.pop()
+                cut(len(stack) - 1)
         flush()
+        for block, box in self.blocks:
+            box.chars += len(block)
+        for box in reversed(self.boxes):
+            if box.above is not None:
+                box.above.chars += box.chars
 
     @staticmethod
-    def _close_implied(stack, name):
+    def _close_implied(stack, name, ends, cut):
         """Starting a block ends an open paragraph, and an item or a cell ends the one before."""
-        ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}.get(name, ()) + ("p",)
-        stop = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",)}.get(name, ())
+        stop = _STOPS.get(name, ())
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] in ends:
-                del stack[k:]
+                cut(k)
                 if stack[-1][0] in ends:
                     continue
                 return
-            if stack[k][0] in stop or stack[k][0] not in INLINE and "p" == ends[0]:
+            if stack[k][0] in stop or stack[k][0] not in INLINE and ends == ("p",):
                 return
 
     @staticmethod
-    def _other(name: str, tag: str, inside: bool) -> tuple[bool, str]:
-        """Whether an element's attributes say it isn't the article, and the element's label in paths."""
-        words, label = set(), name
+    def _named(name: str, tag: str, inside: bool) -> tuple[bool, bool, str]:
+        """(hidden, whether the attributes name something other than the article, label in paths)."""
+        label, other = name, False
         for key, *values in _ATTRIBUTE.findall(tag):
             value = next((v for v in values if v), "")
             label += {"class": ".", "id": "#"}.get(key.lower(), "@") + re.sub(r"\d+", "", value)
-            words.update(w.lower() for w in re.findall(r"[A-Za-z]+", _CAMEL.sub(" ", value)))
-        other = bool(_HIDDEN.search(tag))
-        if name in ("html", "body", *MAIN):
-            other |= name not in ("html", "body") and bool(words & COMMENT_WORDS)
-        else:
-            other |= bool(words & OTHER_WORDS) or (not inside and bool(words & TOP_WORDS))
-        return other, label
+            if name not in ("html", "body") and name not in CONTENT:
+                for part in value.split():
+                    words = [w.lower() for w in re.findall(r"[^\W\d_]+", _CAMEL.sub(" ", part))]
+                    other |= named_otherwise(words, not inside)
+        return bool(_HIDDEN.search(tag)), other, label
 
-
-def digest(path: tuple[str, ...], block: str) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{'>'.join(path)}\0{block}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    def digests(self) -> list[int]:
+        """A token for each block: its text and the path of its box."""
+        return [_digest(box.path, block) for block, box in self.blocks]
 
 
 def host_of(url):
@@ -160,90 +224,205 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """host, pages and its template: a list of (path, block, chars) that occur once on every page of the host.
-
-    A container has its path and the article text under it over all pages; a block has the digest of
-    its text and path. The list is no longer than the shortest page of the host has tokens.
-    """
-
-    def tokens(batches):
-        for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for k, source in enumerate(batch.column("html").to_pylist()):
-                page = Page(source)
-                chars: dict[str, int] = {}
-                blocks: dict[int, int] = {}
-                for block, path, dropped in page.blocks:
-                    if dropped:
-                        continue
-                    key = digest(path, block)
-                    blocks[key] = blocks.get(key, 0) + 1
-                    for n in range(1, len(path) + 1):
-                        at = ">".join(path[:n])
-                        chars[at] = chars.get(at, 0) + len(block)
-                for row in [("", 0, 1, 0), *((p, 0, n, chars.get(p, 0)) for p, n in page.opened.items()), *((None, b, n, 0) for b, n in blocks.items())]:
-                    for column, value in zip(out, (k, *row)):
-                        column.append(value)
-            at = pa.array(out[0], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("host").take(at), batch.column("mark").take(at), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int64())], ["host", "mark", "path", "block", "n", "chars"])
-
-    rows = pages.select("host", "html", F.xxhash64("page_id", "url", "html").alias("mark")).mapInArrow(tokens, "host string, mark long, path string, block long, n long, chars long")
+_TOKENS = "host string, mark long, token long, above long, name string, other boolean, n long, chars long"
+
+
+def _page_tokens(batches):
+    """A row for each different token of a page: boxes with their names, blocks with the box they stand in."""
+    for batch in batches:
+        out: tuple[list, ...] = tuple([] for _ in range(7))
+        for k, source in enumerate(batch.column("html").to_pylist()):
+            page = Page(source)
+            found: dict[int, list] = {0: [None, "", False, 1, page.boxes[0].chars]} if page.blocks or len(page.boxes) > 1 else {}
+            for box in page.boxes[1:]:
+                row = found.setdefault(box.path, [box.above.path, box.name, box.other, 0, 0])
+                row[3] += 1
+                row[4] += box.chars
+            for token, (block, box) in zip(page.digests(), page.blocks):
+                row = found.setdefault(token, [box.path, None, False, 0, 0])
+                row[3] += 1
+                row[4] += len(block)
+            for token, row in found.items():
+                for column, value in zip(out, (k, token, *row)):
+                    column.append(value)
+        at = pa.array(out[0], pa.int64())
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("host").take(at), batch.column("mark").take(at), *(pa.array(c, t) for c, t in zip(out[1:], kinds))], ["host", "mark", "token", "above", "name", "other", "n", "chars"])
+
+
+def classes_of(pages: DataFrame) -> DataFrame:
+    """host, pages, token, above, name (null for blocks), other, class, support and chars of tokens on enough of the host's different pages."""
+    rows = pages.select("host", "mark", "html").mapInArrow(_page_tokens, _TOKENS)
+    # Copies of a page are one page.
+    rows = rows.groupBy("host", "token", "mark", "n").agg(F.max("above").alias("above"), F.max("name").alias("name"), F.max("other").alias("other"), F.max("chars").alias("chars"))
     key = F.xxhash64("mark", "n")
     part = lambda shift: F.sum(F.shiftright(key, shift).bitwiseAND(F.lit(0x7FFFFFFF)))
-    classes = rows.groupBy("host", "path", "block").agg(part(0).alias("v1"), part(32).alias("v2"), F.count(F.lit(1)).alias("pages"), F.sum("chars").alias("chars"))
-    root = classes.where("path = ''").select("host", "v1", "v2", "pages")
-    same = classes.where("path is null or path != ''").join(root, ["host", "v1", "v2", "pages"])
-    return same.groupBy("host").agg(F.first("pages").alias("pages"), F.collect_list(F.struct("path", "block", "chars")).alias("template"))
+    vectors = stage(
+        rows.groupBy("host", "token").agg(part(0).alias("v1"), part(32).alias("v2"), F.count(F.lit(1)).alias("support"), F.max("above").alias("above"), F.max("name").alias("name"), F.max("other").alias("other"), F.sum("chars").alias("chars")),
+        "vectors",
+    )
+    root = vectors.where("token = 0").select("host", F.col("support").alias("pages"))
+    least = F.when(F.col("name").isNotNull(), F.greatest(F.least(F.lit(2), F.col("pages")), F.ceil(F.col("pages") * BOX_SHARE))).otherwise(F.greatest(F.lit(TEXT_PAGES), F.ceil(F.col("pages") * TEXT_SHARE)))
+    enough = vectors.join(root, "host").where(F.col("support") >= least)
+    return stage(enough.select("host", "pages", "token", "above", "name", "other", F.xxhash64("v1", "v2", "support").alias("class"), "support", "chars"), "tokens")
+
+
+def _orders(batches):
+    """host, class, order and gap: how the blocks' classes stand on each page, and in which gap of the host's largest class."""
+    known: dict[str, tuple] = {}
+    for batch in batches:
+        out: tuple[list, ...] = ([], [], [], [])
+        for host, source, text in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), batch.column("tokens").to_pylist()):
+            if host not in known:
+                if len(known) >= KEPT_HOSTS:
+                    known.clear()
+                of, size = {}, {}
+                for token, class_, _ in json.loads(text):
+                    of[int(token)] = int(class_)
+                    size[int(class_)] = size.get(int(class_), 0) + 1
+                known[host] = of, max(size, key=lambda c: (size[c], c)) if size else None
+            of, root = known[host]
+            page = Page(source)
+            names, gap, seen = page.digests(), 0, {}
+            for at in page.order:
+                token = page.boxes[at].path if at >= 0 else names[-1 - at]
+                class_ = of.get(token)
+                if class_ is not None:
+                    gap += class_ == root
+                    tokens, gaps = seen.setdefault(class_, ([], set()))
+                    tokens.append(token)
+                    gaps.add(gap)
+            for class_, (tokens, gaps) in seen.items():
+                size = len(set(tokens))
+                first = tokens[:size]
+                ordered = tokens == first * (len(tokens) // size)
+                for column, value in zip(out, (host, class_, _digest(*first) if ordered else None, 0 if class_ == root else min(gaps) if len(gaps) == 1 else None)):
+                    column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), *(pa.array(c, pa.int64()) for c in out[1:])], ["host", "class", "order", "gap"])
 
 
-def main_slot(template: list[tuple[str | None, int, int]]) -> str:
-    """The path of the template's container to extract: an article or main element, or else the innermost with most of the text."""
-    boxes = {p: chars for p, _, chars in template if p}
-    for name in MAIN:
-        named = [p for p in boxes if re.split(r"[.#@]", p.rsplit(">", 1)[-1])[0] == name]
-        if named:
-            return max(named, key=lambda p: (boxes[p], -len(p), p))
-    whole = max(boxes.values(), default=0)
-    large = [p for p in boxes if 2 * boxes[p] > whole]
-    return max(large, key=lambda p: (p.count(">"), p)) if large and whole else ""
+def templates(pages: DataFrame) -> DataFrame:
+    """host, pages and template: JSON of (token, path above, name or null, other, chars) of boxes and of the blocks of valid classes; staged.
+
+    A template has no more tokens than 1 / BOX_SHARE pages of the host.
+    """
+    tokens = classes_of(pages)
+    packed = tokens.groupBy("host").agg(F.to_json(F.collect_list(F.array(F.col("token").cast("string"), F.col("class").cast("string"), F.col("name")))).alias("tokens"))
+    # Only hosts with a block that could be the template's need the check.
+    blocks = tokens.where("name is null").select("host").distinct()
+    packed = stage(packed.join(blocks, "host", "left_semi"), "classes")
+    stand = pages.select("host", "html").join(packed, "host").mapInArrow(_orders, "host string, class long, order long, gap long").groupBy("host", "class")
+    fits = lambda c: (F.count(c) == F.count(F.lit(1))) & (F.min(c) == F.max(c))
+    valid = stand.agg((fits("order") & fits("gap")).alias("valid")).where("valid").select("host", "class")
+    # A box alone is ordered, and nests by its path; blocks need a valid class.
+    kept = tokens.where("name is not null").unionByName(tokens.where("name is null").join(valid, ["host", "class"], "left_semi"))
+    row = F.struct(F.col("token").cast("string").alias("t"), F.col("above").cast("string").alias("a"), F.col("name").alias("n"), F.col("other").alias("o"), F.col("chars").alias("c"))
+    out = stage(kept.groupBy("host").agg(F.max("pages").alias("pages"), F.to_json(F.sort_array(F.collect_list(row))).alias("template")), "templates")
+    unstage(tokens)
+    unstage(packed)
+    return out
+
+
+class Template:
+    """The boxes that cut slots, the slot of the article, and the template's own text within it."""
+
+    def __init__(self, rows: list[tuple[int, int | None, str | None, bool, int]]):
+        boxes = {t: (a, n, o, c) for t, a, n, o, c in rows if n is not None}
+        self.cuts = set(boxes)
+        self.slot, self.text = 0, set()
+
+        state: dict[int, tuple[bool, int]] = {}  # path: (named otherwise or within such a box, depth)
+
+        def look(path):
+            chain = []
+            while path is not None and path not in state:
+                chain.append(path)
+                path = boxes[path][0] if path in boxes else None
+            for p in reversed(chain):
+                above = state.get(boxes[p][0] if p in boxes else None, (False, -1))
+                state[p] = above[0] or p in boxes and boxes[p][2], above[1] + 1
+            return state[chain[0]] if chain else state[path]
+
+        open_ = {t: b for t, b in boxes.items() if not look(t)[0]}
+        for name in MAIN:
+            named = [t for t, b in open_.items() if b[1] == name and b[3] > 0]
+            if named:
+                self.slot = max(named, key=lambda t: (open_[t][3], -state[t][1], t))
+                break
+        else:
+            whole = max((b[3] for b in open_.values()), default=0)
+            large = [t for t, b in open_.items() if 2 * b[3] > whole]
+            if large:
+                self.slot = max(large, key=lambda t: (state[t][1], open_[t][3], t))
+        below = {self.slot}
+        inside: dict[int, bool] = {}
+
+        def within(path):
+            chain = []
+            while path is not None and path not in below and path not in inside:
+                chain.append(path)
+                path = boxes[path][0] if path in boxes else None
+            found = path in below or inside.get(path, False)
+            inside.update((p, found) for p in chain)
+            return found
+
+        own = [(t, c) for t, a, n, _, c in rows if n is None and within(a)]
+        # If most of the article stands on all pages, they are versions of one text and not a template.
+        if self.slot in boxes and 2 * sum(c for _, c in own) < boxes[self.slot][3]:
+            self.text = {t for t, _ in own}
+
+    @staticmethod
+    def of(text: str) -> Template:
+        return Template([(int(r["t"]), int(r["a"]) if r.get("a") is not None else None, r.get("n"), bool(r.get("o")), r["c"]) for r in json.loads(text)])
 
 
-def main_text(source: str | None, slot: str, boilerplate: set[int]) -> str:
+def main_text(source: str | None, template: Template) -> str:
     page = Page(source)
-    kept = [(b, p) for b, p, dropped in page.blocks if not dropped]
-    mine = [(b, p) for b, p in kept if not slot or ">".join(p) == slot or ">".join(p).startswith(slot + ">")]
+    # (within the slot, within a slot of something else)
+    state = {id(page.boxes[0]): (template.slot == 0, False)}
+
+    def look(box):
+        chain = []
+        while id(box) not in state:
+            chain.append(box)
+            box = box.above
+        found = state[id(box)]
+        for b in reversed(chain):
+            found = state[id(b)] = (found[0] or b.path == template.slot, found[1] or b.other and b.path in template.cuts)
+        return found
+
+    kept = [(token, block, box, *look(box)) for token, (block, box) in zip(page.digests(), page.blocks)]
+    mine = [k for k in kept if k[3] and not k[4]]
     if not mine:  # a page unlike its host's others
-        named = [(b, p) for b, p in kept if any(re.split(r"[.#@]", e)[0] in MAIN for e in p)]
-        mine = named or kept
-    return " ".join(b for b, p in mine if not boilerplate or digest(p, b) not in boilerplate)
+        mine = [k for k in kept if k[2].inside and not k[4]] or [k for k in kept if not k[4]]
+    return " ".join(block for token, block, *_ in mine if token not in template.text)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url and text of every row.
 
     Null or empty html gives an empty text. Rows with a null url share a host without a name. Repeated
-    rows stay, and count as pages of their host. Long pages are taken whole; extra columns are
-    ignored; an empty table gives no rows.
+    rows stay, and copies count as one page of their host. Long pages are taken whole, in time linear
+    in their length; extra columns are ignored; an empty table gives no rows.
     """
     spark = pages.sparkSession
     ready_python(spark)
-    rows = pick(pages, "page_id", "url", "html").select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
+    rows = pick(pages, "page_id", "url", "html").select("page_id", "url", "html", host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("mark"))
     # A table of its own, so that a small one is broadcast by its known size and a large one joined
     # by a shuffle in which Spark can split the pages of a frequent host.
-    both = rows.join(stage(templates(rows), "templates"), "host", "left").select("page_id", "url", "html", "pages", "template")
+    both = rows.join(templates(rows), "host", "left").select("page_id", "url", "html", "template")
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("page_id", "url"))
 
     def run(batches):
+        known: dict[str | None, Template] = {}
         for batch in batches:
-            texts, last, slot, common = [], None, "", set()
-            for source, count, template in zip(batch.column("html").to_pylist(), batch.column("pages").to_pylist(), batch.column("template").to_pylist()):
-                if template != last:
-                    last = template
-                    found = [(t["path"], t["block"], t["chars"]) for t in template or []]
-                    slot = main_slot(found)
-                    common = {b for p, b, _ in found if p is None} if (count or 0) >= LEAST_PAGES else set()
-                texts.append(main_text(source, slot, common))
+            texts = []
+            for source, template in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist()):
+                if template not in known:
+                    if len(known) >= KEPT_HOSTS:
+                        known.clear()
+                    known[template] = Template.of(template or "[]")
+                texts.append(main_text(source, known[template]))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     return both.mapInArrow(run, f"{kinds}, text string")

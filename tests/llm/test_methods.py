@@ -245,6 +245,56 @@ def test_html_without_main_elements(spark):
     assert got[2] == "Long text number 2 with many more words than the rest of the page has and a second 2"
 
 
+def texts_of(spark, sources, host="https://some.example/"):
+    rows = [(k, host, s) for k, s in enumerate(sources)]
+    return {r.page_id: r.text for r in html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_html_names_take_nothing_from_the_article(spark):
+    page = """<html><body><nav>menu</nav><article><h1>T{k}</h1><section id="discussion"><p>We discuss {k}</p></section><h2 id="related-work">Related work {k}</h2>
+    <div class="social-impact">The impact {k} of it</div><p>so <math><mi>x</mi><mo>=</mo><mi>{k}</mi></math> holds</p><div class="ad-box">Buy {k}</div><section class="comments"><p>Nice {k}</p></section></article></body></html>"""
+    for n in (1, 2, 5, 9):
+        got = texts_of(spark, [page.format(k=f"n{k}") for k in range(n)])
+        assert got[0] == "Tn0 We discuss n0 Related work n0 The impact n0 of it so x=n0 holds", n
+
+
+def test_html_of_small_hosts_and_odd_pages(spark):
+    page = "<html><body><div id=top>Home</div><div class=story><p>This is story number {k} and it is much longer than the rest of the page</p><p>Printed on paper</p></div><div class=latest>Also {k}</div></body></html>"
+    long = "This is story number {k} and it is much longer than the rest of the page"
+    for n in (1, 2):  # too few to tell a line of the template from one of the story
+        assert texts_of(spark, [page.format(k=f"a{k}") for k in range(n)])[0] == long.format(k="a0") + " Printed on paper"
+    for n in (3, 7, 12):
+        assert texts_of(spark, [page.format(k=f"a{k}") for k in range(n)])[0] == long.format(k="a0")
+    odd = [None, "", "<p>Not found</p>"]
+    got = texts_of(spark, [page.format(k=f"a{k}") for k in range(30)] + odd)
+    assert got[3] == long.format(k="a3") and got[30] == got[31] == "" and got[32] == "Not found"
+    # Copies, and versions of one text, aren't a template.
+    assert texts_of(spark, [page.format(k="a")] * 6)[0] == long.format(k="a") + " Printed on paper"
+    versions = [page.format(k="a").replace("Also a", f"Also {k}") for k in range(6)]
+    assert texts_of(spark, versions)[2] == long.format(k="a") + " Printed on paper"
+
+
+def test_html_classes_need_one_order_and_one_gap(spark):
+    parts = ["<p>first line here</p>", "<p>second line here</p>"]
+    pages = [f"<article><p>the text {k} of this page is its own and long enough</p>{parts[k % 2]}{parts[1 - k % 2]}</article>" for k in range(8)]
+    assert texts_of(spark, pages)[0] == "the text 0 of this page is its own and long enough first line here second line here"
+    pages = [f"<article><p>the text {k} of this page is its own and long enough</p>{parts[0]}{parts[1]}</article>" for k in range(8)]
+    assert texts_of(spark, pages)[0] == "the text 0 of this page is its own and long enough"
+
+
+def test_html_of_deep_and_broken_pages_takes_linear_time():
+    import time
+
+    def seconds(source):
+        began = time.perf_counter()
+        page = html_text.Page(source)
+        html_text.main_text(source, html_text.Template([(b.path, b.above.path if b.above else None, b.name, b.other, b.chars) for b in page.boxes]))
+        return time.perf_counter() - began
+
+    for part in ("<div>", "<li>a<div>", "<td>a<div>", "<a \"", "<p>x", "<b>", "</div>", "&amp;", "<!--"):
+        assert seconds(part * (1_000_000 // len(part))) < 30, part
+
+
 def test_html_of_the_test_pages(spark):
     import html
 
