@@ -11,16 +11,17 @@ small share of pairs at the threshold do, which is found by simulation.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, pick, ready_python, stage, table
 
-#: Directions of either set in which a vector is listed, and vectors of a list on average.
-STRONGEST, LIST_ROWS = 6, 16
+#: Directions of either set in which a vector is listed at least and at most, and vectors of a list on average.
+STRONGEST, MOST, LIST_ROWS = 6, 40, 16
 #: Half width of a window, in standard deviations of the projected difference of a pair at the threshold.
 WINDOW = 2.5
 #: Share of pairs at the threshold that the count must let pass, and simulated pairs.
@@ -30,42 +31,65 @@ BLOCK, PAIRS = 2048, 1 << 18
 SEED = 11
 
 
+@lru_cache(maxsize=2)
 def directions(dim: int, count: int) -> np.ndarray:
-    """Both sets of random directions, side by side; set members also stand for their opposites."""
-    return np.random.Generator(np.random.PCG64([SEED, dim, count])).standard_normal((dim, 2 * count)).astype(np.float32)
+    """Both sets of random directions, side by side; set members also stand for their opposites. Made once for each process."""
+    return np.random.Generator(np.random.PCG64([SEED, dim, count])).standard_normal((dim, 2 * count), dtype=np.float32)
 
 
-def set_size(rows: int) -> int:
+def set_size(rows: int, listed: int = STRONGEST) -> int:
     """Directions of a set, so that lists have LIST_ROWS vectors on average."""
-    return max(8, math.ceil(math.sqrt(rows * STRONGEST**2 / LIST_ROWS) / 2))
+    return max(listed + 2, math.ceil(math.sqrt(rows * listed**2 / LIST_ROWS) / 2))
 
 
-def strongest(unit: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """(list keys, projections) of unit vectors, STRONGEST ** 2 each."""
+def strongest(unit: np.ndarray, count: int, listed: int = STRONGEST) -> tuple[np.ndarray, np.ndarray]:
+    """(list keys, projections) of unit vectors, listed ** 2 each."""
     seen = unit.astype(np.float32) @ directions(unit.shape[1], count)
     names, values = [], []
     for half in (seen[:, :count], seen[:, count:]):
-        top = np.argpartition(-np.abs(half), STRONGEST - 1, axis=1)[:, :STRONGEST]
+        top = np.argpartition(-np.abs(half), listed - 1, axis=1)[:, :listed]
         value = np.take_along_axis(half, top, axis=1)
         names.append(2 * top + (value < 0))
         values.append(np.abs(value))
     keys = (names[0][:, :, None].astype(np.int64) * (2 * count) + names[1][:, None, :]).reshape(len(unit), -1)
-    return keys, np.repeat(values[0], STRONGEST, axis=1)
-
-
-def calibrate(dim: int, count: int, cosine: float) -> tuple[int, float]:
-    """(least collisions, half width of a window) for pairs of this cosine, by simulation; at least one collision."""
-    random = np.random.Generator(np.random.PCG64([SEED, dim, count, 1]))
-    x = random.standard_normal((SIMULATED, dim))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    z = random.standard_normal((SIMULATED, dim))
-    z -= (z * x).sum(axis=1, keepdims=True) * x
-    norm = np.linalg.norm(z, axis=1, keepdims=True)
-    y = cosine * x + math.sqrt(1 - cosine * cosine) * np.divide(z, norm, out=np.zeros_like(z), where=norm > 0)
-    width = WINDOW * math.sqrt(2 - 2 * cosine)
-    (kx, vx), (ky, vy) = strongest(x, count), strongest(y, count)
-    hits = ((kx[:, :, None] == ky[:, None, :]) & (np.abs(vx[:, :, None] - vy[:, None, :]) <= width)).sum(axis=(1, 2))
-    return max(1, int(np.quantile(hits, 1 - RECALL, method="lower"))), width
+    return keys, np.repeat(values[0], listed, axis=1)
+
+
+def collisions(dim: int, count: int, cosine: float, listed: int, pairs: int, seed: int) -> tuple[np.ndarray, float]:
+    """(collisions of simulated pairs of this cosine, half width of a window)."""
+    random = np.random.Generator(np.random.PCG64([SEED, dim, count, seed]))
+    width, hits = WINDOW * math.sqrt(2 - 2 * cosine), []
+    while pairs > 0:
+        n = min(pairs, max(16, (1 << 24) // count))
+        pairs -= n
+        x = random.standard_normal((n, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        z = random.standard_normal((n, dim))
+        z -= (z * x).sum(axis=1, keepdims=True) * x
+        norm = np.linalg.norm(z, axis=1, keepdims=True)
+        y = cosine * x + math.sqrt(1 - cosine * cosine) * np.divide(z, norm, out=np.zeros_like(z), where=norm > 0)
+        (kx, vx), (ky, vy) = strongest(x, count, listed), strongest(y, count, listed)
+        for a, v, b, w in zip(kx, vx, ky, vy):
+            _, at, bt = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+            hits.append(int((np.abs(v[at] - w[bt]) <= width).sum()))
+    return np.array(hits), width
+
+
+@lru_cache(maxsize=8)
+def calibrate(dim: int, rows: int, cosine: float) -> tuple[int, int, int, float]:
+    """(directions of a set, lists of a vector in a set, least collisions, half width of a window) for so many vectors.
+
+    The count to pass is the one that RECALL of the simulated pairs at the threshold reach. Lists grow
+    with the table, so pairs share fewer of them; a vector then stands in more, until the count is at
+    least one. If that isn't enough, the promise can't be kept and this raises.
+    """
+    for listed in range(STRONGEST, min(MOST, max(STRONGEST, 64 * dim)) + 1):
+        count = set_size(rows, listed)
+        hits, width = collisions(dim, count, cosine, listed, SIMULATED, 1)
+        least = int(np.quantile(hits, 1 - RECALL, method="lower"))
+        if least >= 1:
+            return count, listed, least, width
+    raise ValueError(f"{rows} vectors of {dim} dimensions can't be compared with a recall of {RECALL}")
 
 
 def _vectors(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -107,19 +131,21 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.9) -> DataFrame:
 
 
 def _links(reps: DataFrame, dim: int, n: int, cosine: float) -> DataFrame:
-    count = set_size(n)
-    least, width = calibrate(dim, count, cosine)
+    count, lists_each, least, width = calibrate(dim, n, cosine)
 
     def listed(batches):
         for batch in batches:
             if len(batch):
                 x = _vectors(batch, "embedding")
                 x = x / np.abs(x).max(axis=1, keepdims=True)
-                keys, values = strongest(x / np.linalg.norm(x, axis=1, keepdims=True), count)
+                keys, values = strongest(x / np.linalg.norm(x, axis=1, keepdims=True), count, lists_each)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(values.ravel()), batch.column("id").take(pa.array(np.repeat(np.arange(len(x)), keys.shape[1])))], ["key", "value", "id"])
 
     lists = reps.select("id", "embedding").mapInArrow(listed, "key long, value float, id long")
-    lists = lists.withColumn("k", F.ceil(F.count(F.lit(1)).over(Window.partitionBy("key")) / BLOCK))
+    # Only lists too long for one block are counted apart, so that a long one is never a task of its own.
+    lists = stage(lists, "lists")
+    long = lists.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).alias("k"))
+    lists = lists.join(long, "key", "left").withColumn("k", F.coalesce("k", F.lit(1)))
     lists = lists.withColumn("block", F.pmod(F.xxhash64("id"), "k"))
     cells = lists.select("key", "value", "id", "block", F.explode(F.expr("sequence(0L, k - 1)")).alias("other"))
     cells = cells.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "value", "id")

@@ -46,18 +46,11 @@ def test_near_vectors_equal_brute_force(spark):
     assert all(g[2] == (g[1] == i) for i, g in got.items())
 
 
-def test_calibrated_recall_holds_for_other_pairs():
-    dim, count = 64, near_vectors.set_size(50_000)
-    least, width = near_vectors.calibrate(dim, count, 0.9)
-    random_ = np.random.default_rng(8)
-    x = random_.standard_normal((1500, dim))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    z = random_.standard_normal((1500, dim))
-    z -= (z * x).sum(1, keepdims=True) * x
-    y = 0.9 * x + np.sqrt(0.19) * z / np.linalg.norm(z, axis=1, keepdims=True)
-    (kx, vx), (ky, vy) = near_vectors.strongest(x, count), near_vectors.strongest(y, count)
-    hits = ((kx[:, :, None] == ky[:, None, :]) & (abs(vx[:, :, None] - vy[:, None, :]) <= width)).sum((1, 2))
-    assert (hits >= least).mean() >= 0.94
+def test_calibrated_recall_holds_at_every_size():
+    for rows in (500, 50_000, 10**6, 10**8, 10**10):
+        count, listed, least, _ = near_vectors.calibrate(64, rows, 0.9)
+        hits, _ = near_vectors.collisions(64, count, 0.9, listed, 1500, 7)
+        assert least >= 1 and (hits >= least).mean() >= 0.95, rows
 
 
 def test_ngram_join_equals_brute_force(spark):
