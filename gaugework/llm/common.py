@@ -62,7 +62,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a frame as a table in the shared folder and read it back, which cuts the lineage durably."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out

@@ -173,7 +173,7 @@ def _groups(lines: DataFrame, bands: Bands) -> DataFrame:
     shared = index.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("own").alias("own")).where("low < high and own = 1")
     shared = stage(shared.select("key"), "keys")
     # A line may meet a key by several of its substrings, and stand in several places.
-    rows = index.join(shared, "key").groupBy("key", "id").agg(F.max("own").alias("own"), F.max("len").alias("len"))
+    rows = index.join(shared.hint("merge"), "key").groupBy("key", "id").agg(F.max("own").alias("own"), F.max("len").alias("len"))
     rows = stage(rows, "members")
     unstage(index)
     mark = lambda seed: F.bit_xor(F.xxhash64("id", "own", F.lit(seed)))
@@ -301,9 +301,9 @@ def dedup_lines(documents: DataFrame, threshold: int | Bands = BANDS, least_word
     linked = components(links).select("id.*", F.col("component").alias("class"))
     repeated = lines.groupBy(*name).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*name, F.struct(*name).alias("class"))
     repeated = repeated.join(linked.select(*name), name, "left_anti")
-    # Lines that stand elsewhere too, or have duplicates.
+    # Lines that stand elsewhere too, or have duplicates. Joined by shuffle at every size, as these grow with the documents.
     known = stage(linked.union(repeated), "classes")
-    places = stage(lines.join(known, name).select("class", "first"), "places")
+    places = stage(lines.join(known.hint("merge"), name).select("class", "first"), "places")
     for done in (lines, links, known):
         unstage(done)
     heads = places.groupBy("class").agg(F.min("first").alias("head"))
@@ -313,7 +313,7 @@ def dedup_lines(documents: DataFrame, threshold: int | Bands = BANDS, least_word
     names = documents.columns
     place = {n: f"c{k}" for k, n in reversed(list(enumerate(names)))}
     named = documents.toDF(*(f"c{k}" for k in range(len(names)))).withColumn("own", F.xxhash64(place["doc_id"], place["text"]))
-    both = named.join(drop, (F.col("own") == F.col("drop_row")) & F.col(place["doc_id"]).eqNullSafe(F.col("drop_id")), "left")
+    both = named.join(drop.hint("merge"), (F.col("own") == F.col("drop_row")) & F.col(place["doc_id"]).eqNullSafe(F.col("drop_id")), "left")
     parts = F.split(place["text"], "\n")
     kept = F.when(F.col("drop_at").isNull(), F.col(place["text"])).otherwise(F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col("drop_at"), i)), "\n"))
     others = [k for k, n in enumerate(names) if n not in ("n_lines", "n_removed", "text")]
