@@ -39,7 +39,9 @@ def format_aggregates(value: Column, prefix: str, weight: Column | None = None)
     """
     full = F.when(value != "", value)
     share = lambda test: F.avg(test.cast("int")) if weight is None else F.sum(test.cast("int") * weight) / F.sum(F.when(full.isNotNull(), weight))
-    out = [share(full.rlike(p)).alias(f"{prefix}{name}") for name, p in {**STRONG, **WEAK}.items()]
+    # A dollar sign would also match before a last line end here.
+    whole = lambda p: p[:-1] + r"\z" if p.endswith("$") else p
+    out = [share(full.rlike(whole(p))).alias(f"{prefix}{name}") for name, p in {**STRONG, **WEAK}.items()]
     return [*out, share(full.contains(" ") & full.rlike(r"\p{L}")).alias(f"{prefix}prose")]
 
 

@@ -21,16 +21,15 @@ from ..functions.formats import STRONG, WEAK, classify, format_aggregates, json_
 from ..functions.types import category
 from ..model import Column, Constraint, Fact, Reference, Shape, Table
 from ..sources.tables import SAMPLE_SEED, Source, hash_sample, row_hash, sample_share
+from .quantiles import exact_quantiles
 
 # Fixed values of profiling: sampled text values, the share of distinct values that asks for a proof and
 # the rows up to which it is sought, buckets and skew of histograms, sketch size and its relative error.
 VALUE_ROWS, SUSPECT, CEILING = 500, 0.95, 50_000_000
 BUCKETS, SKEW, SET_SIZE = 16, 4.0, 50
 SKETCH, SKETCH_ERROR = 14, 0.008125
-#: Rows in which a duplicate is looked for before anything is grouped.
-WITNESSES = 1000
-#: Above so many rows quantiles are approximated, and then never count as exact.
-EXACT_QUANTILES = 5_000_000
+#: One in so many values, by its hash, is looked at for a duplicate where uniqueness isn't in question.
+SPREAD = 64
 
 
 @dataclass
@@ -47,6 +46,11 @@ def c(name: str) -> Expression:
     return F.col(f"`{name}`")
 
 
+def distinct_estimate(x: Expression) -> Expression:
+    """Distinct values by 2 ** SKETCH registers that keep maxima, so that neither order nor partitions of the rows matter."""
+    return F.approx_count_distinct(x, 1.1 / 2 ** (SKETCH / 2))
+
+
 def cheap_aggregates(df: DataFrame, kinds: dict[str, str]) -> list[Expression]:
     """For one aggregate over a table: nulls, extremes, mean, lengths and a distinct sketch of every column."""
     out = [F.count(F.lit(1)).alias("rows")]
@@ -66,9 +70,9 @@ def cheap_aggregates(df: DataFrame, kinds: dict[str, str]) -> list[Expression]:
             size = F.octet_length(x)
             out += [F.min(size).alias(p + "lmin"), F.max(size).alias(p + "lmax"), F.avg(size).alias(p + "lmean")]
         if isinstance(data_type, (T.StringType, T.IntegerType, T.LongType, T.BinaryType)):
-            out.append(F.hll_sketch_estimate(F.hll_sketch_agg(x, F.lit(SKETCH))).alias(p + "distinct"))
+            out.append(distinct_estimate(x).alias(p + "distinct"))
         elif not isinstance(data_type, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
-            out.append(F.hll_sketch_estimate(F.hll_sketch_agg(x.cast("string"), F.lit(SKETCH))).alias(p + "distinct"))
+            out.append(distinct_estimate(x.cast("string")).alias(p + "distinct"))
     return out
 
 
@@ -111,18 +115,24 @@ def is_unique(df: DataFrame, columns: list[str]) -> bool:
     return True
 
 
-def witnessed(df: DataFrame, columns: list[str]) -> set[str]:
-    """Columns in which two of a few rows agree: a duplicate that was seen proves non-uniqueness, whatever the other rows hold."""
+def repeated(df: DataFrame, columns: list[str]) -> set[str]:
+    """Columns in which a value of the part that SPREAD's hash picks stands twice, which proves that they aren't unique.
+
+    All columns are looked at in one scan, whole and in any order of the rows; in a column that isn't
+    found here the other values may repeat all the same.
+    """
     plain = [x for x in columns if not isinstance(df.schema[x].dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))]
     if not plain:
         return set()
-    rows = df.select(*(F.sha2(c(x).cast("string") if not isinstance(df.schema[x].dataType, T.BinaryType) else c(x), 256) for x in plain)).limit(WITNESSES).collect()
-    out = set()
-    for k, x in enumerate(plain):
-        values = [r[k] for r in rows if r[k] is not None]
-        if len(set(values)) < len(values):
-            out.add(x)
-    return out
+    text = lambda x: F.hex(c(x)) if isinstance(df.schema[x].dataType, T.BinaryType) else c(x).cast("string")
+    cells = F.array(*(F.struct(F.lit(k).alias("column"), F.when(F.pmod(F.xxhash64(text(x)), F.lit(SPREAD)) == 0, text(x)).alias("value")) for k, x in enumerate(plain)))
+    counts = df.select(F.explode(cells).alias("v")).select("v.*").where("value is not null").groupBy("column", "value").count().where("count > 1")
+    return {plain[r["column"]] for r in counts.select("column").distinct().collect()}
+
+
+def surely_repeated(full: int, kind: T.DataType, low, high) -> bool:
+    """Whether whole numbers between these bounds are fewer than the values."""
+    return isinstance(kind, T.IntegralType) and low is not None and full > int(high) - int(low) + 1
 
 
 def fanout(child: DataFrame, key: str, share: float = 1.0) -> dict | None:
@@ -130,7 +140,10 @@ def fanout(child: DataFrame, key: str, share: float = 1.0) -> dict | None:
     rows = child.where(c(key).isNotNull())
     rows = hash_sample(rows, share, F.xxhash64(F.lit(SAMPLE_SEED), c(key)))
     counts = rows.groupBy(c(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    r = counts.agg(F.avg("n").alias("mean"), F.percentile("n", F.array(F.lit(0.5), F.lit(0.95))).alias("q"), F.max("n").alias("max")).first()
+    # Few different counts stand for many parents.
+    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("parents"))
+    whole = F.sum("parents")
+    r = sizes.agg((F.sum(F.col("n") * F.col("parents")) / whole).alias("mean"), F.percentile("n", F.array(F.lit(0.5), F.lit(0.95)), F.col("parents")).alias("q"), F.max("n").alias("max")).first()
     if r["max"] is None:
         return None
     return {"mean": six(r["mean"]), "p50": six(r["q"][0]), "p95": six(r["q"][1]), "max": int(r["max"]), "confidence": "measured" if share >= 1 else "estimated"}
@@ -150,14 +163,9 @@ def partition_skew(df: DataFrame, columns: list[str]) -> dict:
     return {"count": int(r["count"]), "strategy": "list", "key": ",".join(columns), "skew": six(r["max"] / r["all"]) if r["all"] else 0.0}
 
 
-def equi_depth(df: DataFrame, columns: list[str], rows: int) -> dict[str, list[float]]:
-    """Seventeen quantiles of each numeric column, in one aggregate."""
-    points = [k / BUCKETS for k in range(BUCKETS + 1)]
-    make = (lambda x: F.percentile(x, F.array(*map(F.lit, points)))) if rows <= EXACT_QUANTILES else (lambda x: F.percentile_approx(x, points, 10_000))
-    if not columns:
-        return {}
-    r = df.agg(*(make(c(x).cast("double")).alias(f"q{k}") for k, x in enumerate(columns))).first()
-    return {x: list(r[k]) for k, x in enumerate(columns) if r[k] is not None}
+def equi_depth(df: DataFrame, columns: list[str]) -> dict[str, list[float]]:
+    """Seventeen exact quantiles of each numeric column."""
+    return exact_quantiles(df, columns, [k / BUCKETS for k in range(BUCKETS + 1)])
 
 
 def is_skewed(bounds: list[float]) -> bool:
@@ -198,8 +206,11 @@ def profile_table(source: Source, exact: bool = True, ceiling: int = CEILING, so
             for r in sorted(values.where(F.col("column").isin(few)).collect(), key=lambda r: (r["column"], r["value"])):
                 sets.setdefault(r["column"], []).append((r["value"], r["n"]))
             sets = {x: s for x, s in sets.items() if len(s) <= SET_SIZE}
-    repeated = witnessed(df, names)
-    bounds = equi_depth(read, [x for x in names if kinds[x] == "numeric"], seen)
+    bounds = equi_depth(read, [x for x in names if kinds[x] == "numeric"])
+    distincts = {x: min(int(got[f"c{k}_distinct"]), got[f"c{k}_full"]) for k, x in enumerate(names) if f"c{k}_distinct" in got.asDict()}
+    # What a sample repeats the table repeats, so either can prove it.
+    open_ = [x for x in names if x not in sets and distincts.get(x, 0) <= SUSPECT * rows]
+    twice = {x for x, s in sets.items() if any(n > 1 for _, n in s)} | repeated(read, open_)
     escalated = False
     for k, x in enumerate(names):
         p, kind = f"c{k}_", kinds[x]
@@ -214,15 +225,15 @@ def profile_table(source: Source, exact: bool = True, ceiling: int = CEILING, so
             else:
                 column.distinct = Fact(round(distinct * rows / seen) if seen and distinct / max(1, full) > 0.5 else distinct)
         if must_escalate(column.distinct, rows, False) and kind not in ("other",):
-            if rows > ceiling:
+            if rows > ceiling and not exact:
                 warnings.append(f"{source.name}.{x}: {rows} rows are over the ceiling of {ceiling}; uniqueness isn't measured")
             else:
                 escalated |= not exact
                 if not whole:
-                    n = df.agg(F.hll_sketch_estimate(F.hll_sketch_agg(c(x).cast("string"), F.lit(SKETCH))), F.count(c(x))).first()
+                    n = df.agg(distinct_estimate(c(x).cast("string")), F.count(c(x))).first()
                     column.distinct = Fact(min(int(n[0] or 0), n[1]), "measured", "hll", SKETCH_ERROR)
                 column.unique = Fact(is_unique(df, [x]), "exact", "probe")
-        elif x in repeated:
+        elif x in twice or kind == "numeric" and surely_repeated(full, df.schema[x].dataType, got[p + "min"], got[p + "max"]):
             column.unique = Fact(False, "exact", "probe")
         strength = "exact" if whole else "estimated"
         if kind == "numeric" and got[p + "min"] is not None:
@@ -230,7 +241,7 @@ def profile_table(source: Source, exact: bool = True, ceiling: int = CEILING, so
             as_is = (lambda v: int(v)) if integral else (lambda v: v)
             column.range = {"min": as_is(got[p + "min"]), "max": as_is(got[p + "max"]), "mean": six(got[p + "mean"]), "confidence": strength}
             if x in bounds and is_skewed(bounds[x]):
-                column.histogram = {"kind": "equi_depth", "bounds": sorted(set(bounds[x])), "confidence": "exact" if whole and seen <= EXACT_QUANTILES else "estimated"}
+                column.histogram = {"kind": "equi_depth", "bounds": sorted(set(bounds[x])), "confidence": strength}
         elif kind == "temporal" and got[p + "min"] is not None:
             column.range = {"min": got[p + "min"], "max": got[p + "max"], "confidence": strength}
         elif kind in ("text", "json", "bytea") and got[p + "lmin"] is not None:

@@ -128,7 +128,7 @@ def distinct_exact(spark, sf_dir):
 def distinct_hll(spark, sf_dir):
     """Whether the sketch is within five standard errors of the exact count."""
     df = read(spark, sf_dir, "lineitem")
-    row = df.agg(*(F.hll_sketch_estimate(F.hll_sketch_agg(F.col(c) if c != "l_quantity" else F.col(c).cast("string"), F.lit(profile.SKETCH))).alias(c) for c in DISTINCT))
+    row = df.agg(*(profile.distinct_estimate(F.col(c)).alias(c) for c in DISTINCT))
     sketch = unpivot(row, {c: {"estimate": c} for c in DISTINCT})
     exact = distinct_exact(spark, sf_dir)
     return sketch.join(exact, "column_name").select("column_name", (F.abs(F.col("estimate") - F.col("distinct_values")) <= 1 + 5 * profile.SKETCH_ERROR * F.col("distinct_values")).alias("within_error"))
@@ -165,35 +165,30 @@ def _fanout_sql(t: str, k: str) -> str:
     return f"SELECT '{t}.{k}' AS reference, round(avg(n), 6) AS mean_children, round(quantile_cont(n, 0.5), 6) AS p50_children, round(quantile_cont(n, 0.95), 6) AS p95_children, max(n)::BIGINT AS max_children FROM (SELECT count(*) AS n FROM {t} WHERE {k} IS NOT NULL GROUP BY {k}) c"
 
 
-def _fanout(spark, sf_dir, t, k):
-    counts = read(spark, sf_dir, t).where(F.col(k).isNotNull()).groupBy(k).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.round(F.avg("n"), 6).alias("mean_children"), F.round(F.percentile("n", F.lit(0.5)), 6).alias("p50_children"), F.round(F.percentile("n", F.lit(0.95)), 6).alias("p95_children"), F.max("n").alias("max_children")).withColumn("reference", F.lit(f"{t}.{k}"))
+def _fanout(spark, sf_dir, *children):
+    found = [(f"{t}.{k}", profile.fanout(read(spark, sf_dir, t), k)) for t, k in children]
+    return spark.createDataFrame([(n, f["mean"], f["p50"], f["p95"], f["max"]) for n, f in found], "reference string, mean_children double, p50_children double, p95_children double, max_children long")
 
 
 @query(_fanout_sql("orders", "o_custkey"))
 def fanout_orders_by_customer(spark, sf_dir):
-    return _fanout(spark, sf_dir, "orders", "o_custkey")
+    return _fanout(spark, sf_dir, ("orders", "o_custkey"))
 
 
 @query(_fanout_sql("lineitem", "l_orderkey"))
 def fanout_lineitem_by_order(spark, sf_dir):
-    return _fanout(spark, sf_dir, "lineitem", "l_orderkey")
+    return _fanout(spark, sf_dir, ("lineitem", "l_orderkey"))
 
 
 @query(" UNION ALL ".join(_fanout_sql(t, k) for t, k, _, _ in CHILDREN))
 def fanout_all_children(spark, sf_dir):
-    return union([_fanout(spark, sf_dir, t, k) for t, k, _, _ in CHILDREN])
+    return _fanout(spark, sf_dir, *((t, k) for t, k, _, _ in CHILDREN))
 
 
 @query(" UNION ALL ".join(f"SELECT '{t}.{k}' AS reference, round(coalesce(count(*) FILTER (WHERE p.{pk} IS NULL) / nullif(count(*), 0)::DOUBLE, 0), 6) AS orphan_fraction FROM {t} c LEFT JOIN (SELECT DISTINCT {pk} FROM {p}) p ON c.{k} = p.{pk} WHERE c.{k} IS NOT NULL" for t, k, p, pk in (*CHILDREN, ("documents", "doc_id", "labels", "doc_id"))))
 def orphan_fraction_all(spark, sf_dir):
-    out = []
-    for t, k, p, pk in (*CHILDREN, ("documents", "doc_id", "labels", "doc_id")):
-        keys = read(spark, sf_dir, t).where(F.col(k).isNotNull()).groupBy(F.col(k).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-        known = read(spark, sf_dir, p).select(F.col(pk).alias("k")).where("k is not null").distinct().withColumn("found", F.lit(True))
-        lost = keys.join(known, "k", "left").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("found").isNull(), F.col("n")).otherwise(0)).alias("lost"))
-        out.append(lost.select(F.lit(f"{t}.{k}").alias("reference"), F.round(F.coalesce(F.col("lost") / F.nullif(F.col("all"), F.lit(0)), F.lit(0.0)), 6).alias("orphan_fraction")))
-    return union(out)
+    references = (*CHILDREN, ("documents", "doc_id", "labels", "doc_id"))
+    return spark.createDataFrame([(f"{t}.{k}", float(profile.orphan_fraction(read(spark, sf_dir, t), k, read(spark, sf_dir, p), pk))) for t, k, p, pk in references], "reference string, orphan_fraction double")
 
 
 _POINTS_SQL = "[" + ", ".join(str(k / 16) for k in range(17)) + "]"
@@ -201,9 +196,8 @@ _POINTS_SQL = "[" + ", ".join(str(k / 16) for k in range(17)) + "]"
 
 @query(f"SELECT i::INTEGER AS i, round(q[i + 1], 4) AS bound FROM (SELECT quantile_cont(l_extendedprice, {_POINTS_SQL}) AS q FROM lineitem) x, range(17) r(i)")
 def histogram_extendedprice(spark, sf_dir):
-    points = F.array(*(F.lit(k / 16) for k in range(17)))
-    q = read(spark, sf_dir, "lineitem").agg(F.percentile("l_extendedprice", points).alias("q"))
-    return q.select(F.posexplode("q").alias("i", "b")).select("i", F.round("b", 4).alias("bound"))
+    bounds = profile.equi_depth(read(spark, sf_dir, "lineitem"), ["l_extendedprice"])["l_extendedprice"]
+    return spark.createDataFrame([(i, round(b, 4)) for i, b in enumerate(bounds)], "i int, bound double")
 
 
 @query(f"""WITH a AS (SELECT c, quantile_cont(v, {_POINTS_SQL}) AS qs FROM (SELECT 'l_extendedprice' AS c, l_extendedprice AS v FROM lineitem UNION ALL SELECT 'squared', l_extendedprice * l_extendedprice * l_extendedprice FROM lineitem UNION ALL SELECT 'l_linenumber', l_linenumber::DOUBLE FROM lineitem) t GROUP BY c),
@@ -212,14 +206,16 @@ w AS (SELECT c, b - lag(b) OVER (PARTITION BY c ORDER BY b) AS width FROM (SELEC
 SELECT c AS column_name, count(*) FILTER (WHERE width IS NOT NULL) >= 3 AND coalesce(max(width) / median(width) >= 4, false) AS skewed FROM w GROUP BY c""")
 def histogram_skew(spark, sf_dir):
     df = read(spark, sf_dir, "lineitem").select("l_extendedprice", F.pow("l_extendedprice", F.lit(3)).alias("squared"), F.col("l_linenumber").cast("double"))
-    bounds = profile.equi_depth(df, df.columns, 0)
+    bounds = profile.equi_depth(df, df.columns)
     return spark.createDataFrame([(c, profile.is_skewed(b)) for c, b in sorted(bounds.items())], "column_name string, skewed boolean")
 
 
 @query("SELECT event_type AS value, count(*)::BIGINT AS occurrences, round(count(*) / (SELECT count(*) FROM events)::DOUBLE, 6) AS frequency FROM events GROUP BY event_type")
 def value_set(spark, sf_dir):
-    df = read(spark, sf_dir, "events")
-    return df.groupBy(F.col("event_type").alias("value")).agg(F.count(F.lit(1)).alias("occurrences"), F.round(F.count(F.lit(1)) / F.lit(df.count()), 6).alias("frequency"))
+    counts = profile.value_counts(read(spark, sf_dir, "events").select("event_type"), ["event_type"], [], 0)
+    # A set has no more than twice SET_SIZE values, so it fits into a row.
+    whole = counts.agg(F.sum("n").alias("total"), F.collect_list(F.struct("value", "n")).alias("values"))
+    return whole.select("total", F.explode("values").alias("v")).select("v.value", F.col("v.n").alias("occurrences"), F.round(F.col("v.n") / F.col("total"), 6).alias("frequency"))
 
 
 @query(" UNION ALL ".join(f"SELECT '{t}.{c}' AS column_name, count(*) <= 50 AND bool_and(n >= 20) AS allowed FROM (SELECT count(*) AS n FROM {t} GROUP BY {c}) g" for t, c in (("events", "event_type"), ("customer", "c_mktsegment"), ("part", "p_name"), ("documents", "source"))))
@@ -230,7 +226,8 @@ def k_gate(spark, sf_dir):
 
 @query("SELECT count(*)::BIGINT AS partitions, round(max(n) / sum(n)::DOUBLE, 6) AS skew FROM (SELECT count(*) AS n FROM events GROUP BY event_type) g")
 def partition_skew(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy("event_type").count().agg(F.count(F.lit(1)).alias("partitions"), F.round(F.max("count") / F.sum("count"), 6).alias("skew"))
+    found = profile.partition_skew(read(spark, sf_dir, "events"), ["event_type"])
+    return spark.createDataFrame([(found["count"], found["skew"])], "partitions long, skew double")
 
 
 @query("""WITH RECURSIVE tree(id, parent, bytes) AS (VALUES (1, NULL, 0), (2, 1, 100), (3, 1, 250), (4, 3, 70), (5, 3, 30), (6, NULL, 9)),
@@ -479,7 +476,9 @@ _CHECKS = (("lineitem", "l_discount < 0.05"), ("customer", "c_acctbal >= 0"), ("
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, '{e}' AS expression, count(*) FILTER (WHERE NOT coalesce({e}, true))::BIGINT AS violations FROM {t}" for t, e in _CHECKS))
 def check_violations(spark, sf_dir):
-    return union([read(spark, sf_dir, t).agg(F.count_if(~F.coalesce(F.expr(e), F.lit(True))).alias("violations")).select(F.lit(t).alias("table_name"), F.lit(e).alias("expression"), "violations") for t, e in _CHECKS])
+    from .operators.checks import violations
+
+    return spark.createDataFrame([(t, e, violations(read(spark, sf_dir, t), e)) for t, e in _CHECKS], "table_name string, expression string, violations long")
 
 
 _CASTS = (("documents", "text", "varchar(200)", "length(text) > 200"), ("lineitem", "l_extendedprice", "smallint", "round(l_extendedprice) NOT BETWEEN -32768 AND 32767"), ("events", "event_type", "varchar(5)", "length(event_type) > 5"))

@@ -287,3 +287,35 @@ def test_hints_are_carried(spark):
     shape = profile.pull(spark, [source], ENGINE).shape
     assert set(shape.types) == {"mood"} and shape.tables["t"].indexes[0].name == "i" and shape.extensions == ["citext"]
     assert {c.kind for c in shape.tables["t"].constraints} == {"unique", "check"} and shape.tables["t"].columns["id"].unique == Fact(True, "exact", "probe")
+
+
+def test_quantiles_are_exact_at_any_size(spark, monkeypatch):
+    import numpy as np
+
+    from gaugework.operators import quantiles
+
+    random_ = np.random.default_rng(4)
+    points = [k / 16 for k in range(17)] + [0.001, 0.95]
+    columns = {"normal": random_.standard_normal(5000), "few": random_.integers(0, 3, 5000).astype(float), "one": np.full(5000, 7.0), "tail": np.where(random_.random(5000) < 0.99, 1.0, random_.random(5000) * 1e6), "big": random_.integers(-(10**12), 10**12, 5000).astype(float)}
+    rows = [tuple(float(columns[c][k]) if k % 10 or c == "one" else None for c in columns) for k in range(5000)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in [*columns]) ).withColumn("nothing", F.lit(None).cast("int"))
+    want = {c: [float(np.quantile([r[k] for r in rows if r[k] is not None], p)) for p in points] for k, c in enumerate(columns)}
+    for few, parts in ((4096, 128), (20, 8), (2, 3)):
+        monkeypatch.setattr(quantiles, "FEW", few)
+        monkeypatch.setattr(quantiles, "PARTS", parts)
+        got = quantiles.exact_quantiles(df, [*columns, "nothing"], points)
+        assert set(got) == set(columns)
+        for c in columns:
+            assert np.allclose(got[c], want[c], rtol=1e-12, atol=1e-12), (few, c)
+    assert quantiles.exact_quantiles(df.limit(0), [*columns], points) == {}
+
+
+def test_a_document_is_the_same_for_any_order_of_the_rows(spark):
+    rows = [(k, k // 2 if k < 2000 else k, f"name {k % 1700}", float(k % 13), f"u{k}@x.org\n" if k % 2 else f"u{k}@x.org") for k in range(4000)]
+    schema = "id long, half long, name string, n double, mail string"
+    up, down = spark.createDataFrame(rows, schema), spark.createDataFrame(rows[::-1], schema)
+    docs = [engine.pull(spark, [tables.frame_source(d, "t")], {"name": "postgresql", "version": "16"}, exact=True)[0] for d in (up, down, up.repartition(7))]
+    assert docs[0] == docs[1] == docs[2]
+    table, _, _ = profile.profile_table(tables.frame_source(up, "t"))
+    assert table.columns["id"].unique.value is True and table.columns["n"].unique is None or table.columns["n"].unique.value is False
+    assert table.columns["name"].unique.value is False and table.columns["mail"].format != "email"
