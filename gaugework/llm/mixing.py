@@ -24,6 +24,8 @@ from .common import pick, stage, table
 WEIGHTS, SHARE, REPEATS = (3, 1, 2), Fraction(3, 2), 2
 #: Documents of a block and words of an output shard, on average; shards are no more than SHARDS.
 BLOCK_ROWS, SHARD_WORDS, SHARDS = 256, 1 << 22, 4096
+#: Blocks of a stripe, within which the block is looked for at which a source's share ends.
+STRIPE_BLOCKS = 1024
 #: With more sources than this, their figures are joined by a shuffle and not broadcast.
 BROADCAST_SOURCES = 10_000
 
@@ -103,9 +105,18 @@ def plan_mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fr
     joined = joined.withColumn("rank", F.pmod(block * F.col("step") + F.col("shift"), F.col("blocks")))
     # Words before each block in its source's permutation; then documents are counted only within the block that is cut.
     totals = joined.groupBy("source", "rank").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-    before = F.sum("words").over(Window.partitionBy("source").orderBy("rank")) - F.col("words")
-    cut = totals.withColumn("before", before).where("before < rest")
-    cut = cut.groupBy("source").agg(F.max(F.struct("rank", "before")).alias("m")).select("source", F.col("m.rank").alias("cut"), F.col("m.before").alias("before"))
+    totals = totals.withColumn("stripe", F.floor(F.col("rank") / STRIPE_BLOCKS))
+
+    def last_before(rows, at):
+        """The last row of each source, in order of `at`, before which the words aren't yet the rest."""
+        ahead = F.sum("words").over(Window.partitionBy("source").orderBy(at)) - F.col("words") + F.col("start")
+        rows = rows.withColumn("before", ahead).where("before < rest")
+        return rows.groupBy("source").agg(F.max(F.struct(at, "before")).alias("m")).select("source", f"m.{at}", "m.before")
+
+    # First among stripes of blocks, then among the blocks of one, so that no task gets all blocks of a source.
+    stripes = totals.groupBy("source", "stripe").agg(F.sum("words").alias("words"), F.first("rest").alias("rest")).withColumn("start", F.lit(0))
+    stripe = last_before(stripes, "stripe").withColumnsRenamed({"source": "of_source", "stripe": "of_stripe", "before": "start"})
+    cut = last_before(totals.join(stripe, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("stripe") == F.col("of_stripe"))), "rank").withColumnRenamed("rank", "cut")
     cuts = {r[0]: (r[1], r[2]) for r in cut.collect()}
     copies = [i[3] * i[5] + (cuts[i[0]][0] + 1 if i[0] in cuts else 0) for i in info]
     shards = min(SHARDS, max(1, int(sum(goal)) // SHARD_WORDS))

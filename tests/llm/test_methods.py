@@ -467,3 +467,54 @@ def test_chat_round_trip_of_hostile_texts(spark):
     for c, r in got.items():
         assert r.intact and [(t.role, t.text) for t in r.turns] == [(role, text) for i, _, role, text in rows if i == c]
         assert r.formatted.count("<|im_start|>") == 4
+
+
+def test_mix_targets_equal_a_plain_computation(spark):
+    """The contract's figures by water-filling in steps of plain fractions, from the texts themselves."""
+    from fractions import Fraction
+
+    sizes = {}
+    for r in documents(spark).collect():
+        sizes[r.source] = sizes.get(r.source, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+    order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    total = Fraction(3, 2) * sum(sizes.values())
+    level = Fraction(0)  # words for each unit of weight, raised until all are dealt
+    while sum(min(level * weight[s], 2 * sizes[s]) for s in order) < total:
+        open_ = [s for s in order if level * weight[s] < 2 * sizes[s]]
+        need = total - sum(min(level * weight[s], 2 * sizes[s]) for s in order)
+        level += min(need / sum(weight[s] for s in open_), *(Fraction(2 * sizes[s], weight[s]) - level for s in open_))
+    rows = __spark_entry__.queries()["op7_mixing"](spark, SF).collect()
+    taken = {}
+    for r in rows:
+        assert r.source_size == sizes[r.source] and abs(r.target - float(min(level * weight[r.source], 2 * sizes[r.source]))) < 1e-3
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    assert all(abs(taken[s] - min(level * weight[s], 2 * sizes[s])) <= 1 for s in order)
+
+
+def test_mix_looks_through_many_stripes(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 2)
+    want = {(r.doc_id, r.taken) for r in mixing.plan_mix(documents(spark)).collect()}
+    monkeypatch.setattr(mixing, "STRIPE_BLOCKS", 3)
+    assert {(r.doc_id, r.taken) for r in mixing.plan_mix(documents(spark)).collect()} == want
+
+
+def test_bpe_equals_the_library_on_all_documents(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    library.no_truncation()
+    library.no_padding()
+    got = {r.doc_id: r for r in __spark_entry__.queries()["op1_bpe"](spark, SF).collect()}
+    for r in documents(spark).collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        assert got[r.doc_id].n_tokens == len(ids) and got[r.doc_id].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert got[r.doc_id].decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_toxicity_holds_rows_out_by_their_id(spark):
+    import zlib
+
+    for r in __spark_entry__.queries()["op5_toxicity"](spark, SF).collect():
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5)
