@@ -171,6 +171,8 @@ def encode_documents(documents: DataFrame, vocabulary_path: str, keep: tuple[str
     spark = documents.sparkSession
     ready_python(spark)
     shared = spark.sparkContext.broadcast(load_vocabulary(vocabulary_path))
+    if {"n_tokens", "ids_sha256", "decoded_sha256", "ids"} & set(keep):
+        raise ValueError("a kept column has a name of the result")
     rows = pick(documents, *keep, "text") if "text" not in keep else pick(documents, *keep)
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
     schema = f"{kinds}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids

@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, ready_python, table
+from .common import pick, ready_python, stage, table, unstage
 
 #: Labelled rows that the model is fitted to at most, and features that it has.
 FIT_ROWS, FEATURES = 12_000, 4096
+#: Parts that the sample is written in.
+SAMPLE_PARTS = 48
 #: Weight of the counterfactual term and of the ridge, and steps of the fit.
 SWAP_WEIGHT, RIDGE, STEPS = 4.0, 2e-4, 400
 #: Words remembered by a Python worker; beyond it the memory starts anew.
@@ -29,7 +31,7 @@ STARTS = (3, 4, 5, 6, 7)
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?\n])")
 
-# Names of groups of people, by kind and language; a swap stays within a line.
+# Names of groups of people, by kind and language, our own choice; a swap stays within a line.
 IDENTITY = (
     ("women", "men", "girls", "boys"),
     ("woman", "man", "girl", "boy"),
@@ -131,7 +133,9 @@ def train(documents: DataFrame, labels: DataFrame, swap_weight: float = SWAP_WEI
     ready_python(spark)
     chosen = pick(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = chosen.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
-    rows = pick(documents, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # FIT_ROWS rows
+    rows = pick(documents, "doc_id", "text").join(F.broadcast(chosen), "doc_id")  # FIT_ROWS rows
+    # Written once, in a few parts, so that the documents are read once for the sample.
+    rows = stage(rows.repartition(SAMPLE_PARTS, "doc_id").select("text", "toxic"), "sample")
 
     def count(batches):
         found: dict[str, list[int]] = {}
@@ -167,6 +171,7 @@ def train(documents: DataFrame, labels: DataFrame, swap_weight: float = SWAP_WEI
             )
 
     got = rows.mapInArrow(features, "toxic int, mine array<int>, other array<int>").collect()  # FIT_ROWS rows of feature numbers
+    unstage(rows)
     got.sort(key=lambda r: (r[1], r[0]))
     mine = [list(r[1]) for r in got]
     pairs = [(m, list(r[2])) for m, r in zip(mine, got) if r[2] is not None]
@@ -178,6 +183,8 @@ def score_documents(documents: DataFrame, model: tuple[dict[str, int], np.ndarra
     spark = documents.sparkSession
     ready_python(spark)
     shared = spark.sparkContext.broadcast(model)  # FEATURES names and weights
+    if "score" in keep:
+        raise ValueError("score is a column of the result")
     rows = pick(documents, *dict.fromkeys([*keep, "text"]))
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
 
