@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, pick, ready_python, stage, table
+from .common import components, pick, ready_python, stage, table, unstage
 from .hashing import shingle_set, splitmix
 
 #: Rows of a group that meet in one block of a cell.
@@ -290,8 +290,15 @@ def jaccard_join(documents: DataFrame, words: int = 5, percent: int = 80) -> Dat
     """
     spark = documents.sparkSession
     ready_python(spark)
+    passing: list[DataFrame] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        """Staged until the end of the join."""
+        passing.append(stage(df, name))
+        return passing[-1]
+
     rows = pick(documents, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sizes = stage(_sizes(rows, words), "sizes")
+    sizes = kept(_sizes(rows, words), "sizes")
     whole = sizes.where("n > 0 and doc_id is not null")
     reps = whole.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
     known = stage(sizes.join(reps, ["n", "k1", "k2"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "known")
@@ -311,11 +318,11 @@ def jaccard_join(documents: DataFrame, words: int = 5, percent: int = 80) -> Dat
     index = index.select(F.col("doc_id").alias("id"), F.explode("sigs").alias("sig"))
     sig = Window.partitionBy("sig")
     groups = index.select("sig", "id", F.min("id").over(sig).alias("least"), F.max("id").over(sig).alias("most"), F.bit_xor(F.xxhash64("id")).over(sig).alias("f1"), F.bit_xor(F.xxhash64("id", F.lit(1))).over(sig).alias("f2"))
-    groups = stage(groups.where("least < most").select("f1", "f2", "id", "least").distinct(), "groups")
+    groups = kept(groups.where("least < most").select("f1", "f2", "id", "least").distinct(), "groups")
     first = groups.where("id != least").groupBy(F.col("id").alias("b")).agg(F.min("least").alias("a"))
-    links = stage(_verified(rows, first, words, percent), "links")
+    links = kept(_verified(rows, first, words, percent), "links")
     # What cells compare: size and bits of the documents that share a group with another.
-    bits = stage(_bits(rows, groups.select("id"), words), "bits")
+    bits = kept(_bits(rows, groups.select("id"), words), "bits")
     refuted, comps, turn = None, components(links), 0
     while True:
         now = groups.select("f1", "f2", "id").join(comps, "id", "left").select("f1", "f2", "id", F.coalesce("component", "id").alias("comp"))
@@ -329,25 +336,27 @@ def jaccard_join(documents: DataFrame, words: int = 5, percent: int = 80) -> Dat
             now = now.join(ends.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("gone")), "id", "left")
         now = now.select("*", F.explode(F.expr("sequence(0L, k - 1)")).alias("other")).select("f1", "f2", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp", "n", "bits", "gone")
         now = now.repartition("f1", "f2", "i", "j").sortWithinPartitions("f1", "f2", "i", "j")
-        given = stage(_cells(now, percent, FORESTS[turn] if turn < len(FORESTS) else None), "pairs")
+        given = kept(_cells(now, percent, FORESTS[turn] if turn < len(FORESTS) else None), "pairs")
         if given.isEmpty():
             break
         pairs = given.select("a", "b").distinct()
         # The bound doesn't change, so groups that gave no pair never will.
-        groups = stage(groups.join(given.select("f1", "f2").distinct(), ["f1", "f2"], "left_semi"), "groups")
-        found = stage(_verified(rows, pairs, words, percent), "links")
+        groups = kept(groups.join(given.select("f1", "f2").distinct(), ["f1", "f2"], "left_semi"), "groups")
+        found = kept(_verified(rows, pairs, words, percent), "links")
         lost = pairs.join(found, ["a", "b"], "left_anti")
-        refuted = stage(lost if refuted is None else refuted.union(lost), "refuted")
+        refuted = kept(lost if refuted is None else refuted.union(lost), "refuted")
         turn += 1
         if found.isEmpty():
             continue
-        links = stage(links.union(found), "links")
+        links = kept(links.union(found), "links")
         comps = components(links)
     # Rows with one doc_id and different texts belong together.
     split = known.where("n > 0").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
     split = known.join(split.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b"))
-    split = stage(split, "split")
+    split = kept(split, "split")
     final = comps if split.isEmpty() else components(links.union(split))
+    for done in passing:
+        unstage(done)
     out = known.join(final.withColumnRenamed("id", "rep"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
