@@ -306,7 +306,8 @@ def dedup_lines(documents: DataFrame, threshold: int | Bands = BANDS, least_word
     places = stage(lines.join(known.hint("merge"), name).select("class", "first"), "places")
     for done in (lines, links, known):
         unstage(done)
-    heads = places.groupBy("class").agg(F.min("first").alias("head"))
+    # A table of its own, so that Spark can split a class with many places in the join.
+    heads = stage(places.groupBy("class").agg(F.min("first").alias("head")), "heads")
     drop = places.join(heads, "class").where("first != head")
     drop = drop.groupBy(F.col("first.doc_id").alias("drop_id"), F.col("first.row").alias("drop_row")).agg(F.collect_set("first.pos").alias("drop_at"))
     # Positions for names, so that no column of the input can clash with the operator's.
