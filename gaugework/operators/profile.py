@@ -115,17 +115,17 @@ def is_unique(df: DataFrame, columns: list[str]) -> bool:
     return True
 
 
-def repeated(df: DataFrame, columns: list[str]) -> set[str]:
-    """Columns in which a value of the part that SPREAD's hash picks stands twice, which proves that they aren't unique.
+def repeated(df: DataFrame, columns: list[str], spread: int = SPREAD) -> set[str]:
+    """Columns in which a value of the part that a hash picks stands twice, which proves that they aren't unique.
 
     All columns are looked at in one scan, whole and in any order of the rows; in a column that isn't
-    found here the other values may repeat all the same.
+    found here the other values may repeat all the same, but for a spread of one.
     """
     plain = [x for x in columns if not isinstance(df.schema[x].dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))]
     if not plain:
         return set()
     text = lambda x: F.hex(c(x)) if isinstance(df.schema[x].dataType, T.BinaryType) else c(x).cast("string")
-    cells = F.array(*(F.struct(F.lit(k).alias("column"), F.when(F.pmod(F.xxhash64(text(x)), F.lit(SPREAD)) == 0, text(x)).alias("value")) for k, x in enumerate(plain)))
+    cells = F.array(*(F.struct(F.lit(k).alias("column"), F.when(F.pmod(F.xxhash64(text(x)), F.lit(spread)) == 0, text(x)).alias("value")) for k, x in enumerate(plain)))
     counts = df.select(F.explode(cells).alias("v")).select("v.*").where("value is not null").groupBy("column", "value").count().where("count > 1")
     return {plain[r["column"]] for r in counts.select("column").distinct().collect()}
 
@@ -211,6 +211,10 @@ def profile_table(source: Source, exact: bool = True, ceiling: int = CEILING, so
     # What a sample repeats the table repeats, so either can prove it.
     open_ = [x for x in names if x not in sets and distincts.get(x, 0) <= SUSPECT * rows]
     twice = {x for x, s in sets.items() if any(n > 1 for _, n in s)} | repeated(read, open_)
+    twice |= {x for k, x in enumerate(names) if kinds[x] == "numeric" and surely_repeated(got[f"c{k}_full"], df.schema[x].dataType, got[f"c{k}_min"], got[f"c{k}_max"])}
+    if whole:
+        # Few columns are still open here; they are decided on all values.
+        twice |= repeated(read, [x for x in open_ if x not in twice and x in distincts], 1)
     escalated = False
     for k, x in enumerate(names):
         p, kind = f"c{k}_", kinds[x]
@@ -233,7 +237,7 @@ def profile_table(source: Source, exact: bool = True, ceiling: int = CEILING, so
                     n = df.agg(distinct_estimate(c(x).cast("string")), F.count(c(x))).first()
                     column.distinct = Fact(min(int(n[0] or 0), n[1]), "measured", "hll", SKETCH_ERROR)
                 column.unique = Fact(is_unique(df, [x]), "exact", "probe")
-        elif x in twice or kind == "numeric" and surely_repeated(full, df.schema[x].dataType, got[p + "min"], got[p + "max"]):
+        elif x in twice:
             column.unique = Fact(False, "exact", "probe")
         strength = "exact" if whole else "estimated"
         if kind == "numeric" and got[p + "min"] is not None:

@@ -197,7 +197,7 @@ _POINTS_SQL = "[" + ", ".join(str(k / 16) for k in range(17)) + "]"
 @query(f"SELECT i::INTEGER AS i, round(q[i + 1], 4) AS bound FROM (SELECT quantile_cont(l_extendedprice, {_POINTS_SQL}) AS q FROM lineitem) x, range(17) r(i)")
 def histogram_extendedprice(spark, sf_dir):
     bounds = profile.equi_depth(read(spark, sf_dir, "lineitem"), ["l_extendedprice"])["l_extendedprice"]
-    return spark.createDataFrame([(i, round(b, 4)) for i, b in enumerate(bounds)], "i int, bound double")
+    return spark.createDataFrame(list(enumerate(bounds)), "i int, bound double").select("i", F.round("bound", 4).alias("bound"))
 
 
 @query(f"""WITH a AS (SELECT c, quantile_cont(v, {_POINTS_SQL}) AS qs FROM (SELECT 'l_extendedprice' AS c, l_extendedprice AS v FROM lineitem UNION ALL SELECT 'squared', l_extendedprice * l_extendedprice * l_extendedprice FROM lineitem UNION ALL SELECT 'l_linenumber', l_linenumber::DOUBLE FROM lineitem) t GROUP BY c),
