@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.types import base_type, char_max_length, spark_type
 from ..plans.rules import Applied, Capture
@@ -66,19 +67,26 @@ def violates(df: DataFrame, expression: str) -> bool:
     return not df.where(~F.coalesce(F.expr(expression), F.lit(True))).limit(1).isEmpty()
 
 
-def cast_loss(column: Column, new_type: str) -> Column:
-    """Whether a value doesn't come back unchanged from the new type."""
-    limit = char_max_length(new_type)
+def converted(df: DataFrame, column: str, new_type: str) -> Column:
+    """A column's values in the new type, null where it can't hold them. Whole numbers are made by rounding, as engines do, not by cutting."""
+    value, kind = c(column), spark_type(new_type)
+    if kind in ("smallint", "int", "bigint") and isinstance(df.select(value).schema[0].dataType, (T.DecimalType, T.DoubleType, T.FloatType)):
+        value = F.round(value)
+    return value.try_cast(kind)
+
+
+def cast_loss(df: DataFrame, column: str, new_type: str) -> Column:
+    """Whether the new type can't hold a column's value; a fraction that is rounded off isn't a loss."""
+    limit, value = char_max_length(new_type), c(column)
     if limit is not None:
-        return column.isNotNull() & (F.char_length(column.cast("string")) > limit)
+        return value.isNotNull() & (F.char_length(value.cast("string")) > limit)
     if base_type(new_type) == "text":
         return F.lit(False)
-    made = column.try_cast(spark_type(new_type))
-    return column.isNotNull() & made.isNull()
+    return value.isNotNull() & converted(df, column, new_type).isNull()
 
 
 def loses(df: DataFrame, column: str, new_type: str) -> bool:
-    return not df.where(cast_loss(c(column), new_type)).limit(1).isEmpty()
+    return not df.where(cast_loss(df, column, new_type)).limit(1).isEmpty()
 
 
 def _resolve(tables: dict[str, DataFrame], name: str) -> str | None:
@@ -237,7 +245,7 @@ def _carry_out(spark: SparkSession, change: Change, name: str, rows: Rows) -> No
         rows.primary = {t: [change.to if t == name and x == change.column else x for x in k] for t, k in rows.primary.items()}
         rows.changed.add(name)
     elif change.kind == "set_type":
-        tables[name] = df.withColumn(change.column, c(change.column).try_cast(spark_type(change.type)))
+        tables[name] = df.withColumn(change.column, converted(df, change.column, change.type))
     elif change.kind == "add_primary_key":
         rows.primary[name] = list(change.columns)
     elif change.kind == "add_column" and change.column not in df.columns:

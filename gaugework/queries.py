@@ -486,7 +486,11 @@ _CASTS = (("documents", "text", "varchar(200)", "length(text) > 200"), ("lineite
 
 @query(" UNION ALL ".join(f"SELECT '{t}.{c}' AS column_name, '{k}' AS new_type, count(*) FILTER (WHERE {w})::BIGINT AS lost FROM {t}" for t, c, k, w in _CASTS))
 def cast_losses(spark, sf_dir):
-    return union([read(spark, sf_dir, t).agg(F.count_if(checks.cast_loss(F.col(c), k)).alias("lost")).select(F.lit(f"{t}.{c}").alias("column_name"), F.lit(k).alias("new_type"), "lost") for t, c, k, _ in _CASTS])
+    found = []
+    for t, c, k, _ in _CASTS:
+        df = read(spark, sf_dir, t)
+        found.append(df.agg(F.count_if(checks.cast_loss(df, c, k)).alias("lost")).select(F.lit(f"{t}.{c}").alias("column_name"), F.lit(k).alias("new_type"), "lost"))
+    return union(found)
 
 
 _EXPECTED = [("orders", "o_orderkey", "bigint", True), ("orders", "o_custkey", "integer", True), ("orders", "o_note", "text", True), ("gone", "id", "bigint", True)]

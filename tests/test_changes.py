@@ -227,3 +227,16 @@ def test_ground_truth_after_a_backfill(spark, small):
     engine_ = {"name": "postgresql", "version": "16"}
     assert engine.ground_truth(spark, [source], engine_, statements.split("ALTER TABLE t ALTER a SET NOT NULL")).verdict == "FAIL"
     assert engine.ground_truth(spark, [source], engine_, statements.split("UPDATE t SET a=0 WHERE a IS NULL; ALTER TABLE t ALTER a SET NOT NULL")).verdict == "PASS"
+
+
+@pytest.mark.parametrize("kind", ["double", "float", "decimal(12,2)"])
+def test_a_change_to_whole_numbers_rounds(spark, kind):
+    made = spark.createDataFrame([(1, 32767.75), (2, 0.75), (3, 1.25)], "id long, x double")
+    made = made.selectExpr("id", f"cast(x as {kind}) as x", "cast(x as string) as s")
+    code = lambda sql, rows: next((s.error_code for s in checks.apply(spark, statements.split(sql), {"t": rows}).statements if s.error_code), "")
+    assert code("ALTER TABLE t ALTER x TYPE smallint", made) != ""
+    assert code("ALTER TABLE t ALTER x TYPE integer", made) == ""
+    # 0.75 and 1.25 become the same number.
+    assert code("ALTER TABLE t ALTER x TYPE integer; ALTER TABLE t ADD UNIQUE (x)", made) == "23505"
+    # A text with a fraction is no whole number.
+    assert code("ALTER TABLE t ALTER s TYPE integer", made) != ""

@@ -39,6 +39,18 @@ def test_query_equals_its_sql(spark, oracle, name):
     assert got == plain(result.fetchall(), [d[0] for d in result.description])
 
 
+def test_casts_to_whole_numbers_round_as_the_sql_does(spark, tmp_path):
+    prices = [32767.0, 32767.4, 32767.5, 32767.9, 32768.0, -32768.4, -32768.5, -32768.9, 1e300, math.nan, math.inf, 0.5, None]
+    spark.createDataFrame([(p,) for p in prices], "l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([("abc",), (None,)], "text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("click",), ("search",)], "event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "lineitem", "events"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = {tuple(r) for r in queries.cast_losses(spark, str(tmp_path)).collect()}
+    assert got == set(con.execute(queries.ORACLE["cast_losses"]).fetchall()) and ("lineitem.l_extendedprice", "smallint", 8) in got
+
+
 def test_entry(spark):
     rows = __spark_entry__.entry(spark).collect()
     assert {r.verdict for r in rows} == {"FAIL"} and "RS-DATA-014" in {r.code for r in rows}
