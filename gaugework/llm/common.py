@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch handed to Python. Documents can be long, so batches are kept small.
 BATCH_ROWS = 256
+#: Part of its largest heap that the driver's JVM may hold before it is told to collect.
+HEAP_SHARE = 0.5
 #: Most bits of a filter by which rows are picked before a join: 32 MB.
 FILTER_BITS = 1 << 28
 
@@ -58,11 +60,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def tidy_driver(spark: SparkSession) -> None:
+    """Collect the driver's garbage if its heap has grown beyond HEAP_SHARE.
+
+    Each broadcast and each stage's tasks take some MB of it for a moment, so that many short steps
+    make the heap grow to its limit though little of it is in use. A full collection gives that back,
+    and tells Spark which shuffles and broadcasts nothing needs any more.
+    """
+    runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() > HEAP_SHARE * runtime.maxMemory():
+        runtime.gc()
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a frame as a table in the shared folder and read it back, which cuts the lineage durably."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    tidy_driver(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
@@ -95,16 +110,24 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", known: DataFrame | None = None) -> DataFrame:
     """Connected components of undirected links, as (id, component) with the smallest id reachable.
 
+    known: the components of further links, as this gives them; so links that come in turns are added
+    to stars, which take fewer rounds than all links anew. It is removed in the end.
+
     Alternating large-star and small-star rounds: every round is two aggregations and two joins on
     node ids and the number of rounds grows with the logarithm of the size, so nothing is ever
     gathered on the driver. Each round is written to the shared folder. Nodes without a link, null
     ends and self links give no row; repeated links count once.
     """
     u, v = F.col(a), F.col(b)
-    now = stage(edges.where(u.isNotNull() & v.isNotNull() & (u != v)).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "links")
+    given = edges.where(u.isNotNull() & v.isNotNull() & (u != v)).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
+    if known is not None:
+        given = given.union(known.where("id != component").select(F.col("id").alias("u"), F.col("component").alias("v")))
+    now = stage(given.distinct(), "links")
+    if known is not None:
+        unstage(known)
     mark = _mark(now)
     while mark[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -118,7 +141,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         now = then
         if mark == before:
             break
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    out = now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    out._staged_at = now._staged_at
+    return out
 
 
 def blank(text: Column) -> Column:

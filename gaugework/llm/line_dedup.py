@@ -184,22 +184,23 @@ def _groups(lines: DataFrame, bands: Bands) -> DataFrame:
     return groups
 
 
-def line_links(lines: DataFrame, bands: Bands) -> DataFrame:
-    """Links (a, b) between different lines within the threshold, that join all lines of a class; staged.
+def line_classes(lines: DataFrame, bands: Bands) -> DataFrame:
+    """id and component of all lines that are linked by lines within the threshold; staged.
 
-    lines: h1, h2, len, line, repeated lines allowed. A line's name in the links is (h1, h2, len).
+    lines: h1, h2, len, line, repeated lines allowed. A line's id is (h1, h2, len).
     """
     groups = _groups(lines, bands)
     ids = stage(groups.select("id").distinct(), "ids")
     texts = among(lines, "h1", ids, "id").join(ids, F.col("h1") == F.col("id")).groupBy("h1", "h2", "len").agg(F.any_value("line").alias("line"))
     texts = stage(texts.select(F.col("h1").alias("id"), F.struct("h1", "h2", "len").alias("node"), "line", _letters()), "texts")
     unstage(ids)
-    links = stage(texts.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), "links")
-    comps = components(links)
+    comps = None
     # Two looks at one block each, then one at all. A group of one cell that gave nothing at the first never will.
     for turn in range(3):
         part = groups.where(~_single()) if turn == 1 else groups
-        now = part.join(texts, "id").join(comps.withColumnRenamed("id", "node"), "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
+        now = part.join(texts, "id").withColumn("class", F.col("node"))
+        if comps is not None:
+            now = now.join(comps.withColumnRenamed("id", "node"), "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
         if turn:
             mixed = now.groupBy("f1", "f2").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
             now = now.join(mixed.select("f1", "f2"), ["f1", "f2"])
@@ -207,16 +208,18 @@ def line_links(lines: DataFrame, bands: Bands) -> DataFrame:
         if not found.isEmpty():
             pairs = found.groupBy("ca", "cb").agg(F.min(F.struct("a", "b")).alias("p")) if turn == 2 else found
             pairs = pairs.select("p.*").distinct() if turn == 2 else pairs.select("a", "b").distinct()
-            before, links = links, stage(links.union(_verified(pairs, texts, bands)), "links")
-            unstage(before)
-            comps = components(links)
+            links = stage(_verified(pairs, texts, bands), "links")
+            comps = components(links, known=comps)
+            unstage(links)
         if turn == 0:
             before, groups = groups, stage(groups.where(~_single()).unionByName(groups.where(_single()).join(found.select("f1", "f2").distinct(), ["f1", "f2"], "left_semi")), "groups")
             unstage(before)
         unstage(found)
     unstage(groups)
+    if comps is None:
+        comps = components(texts.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
     unstage(texts)
-    return links
+    return comps
 
 
 def _single() -> Column:
@@ -297,14 +300,14 @@ def dedup_lines(documents: DataFrame, threshold: int | Bands = BANDS, least_word
     rows = pick(documents, "doc_id", "text")
     lines = stage(_lines(rows, 1 if short else least_words), "lines")
     name = ["h1", "h2", "len"]
-    links = line_links(lines.where((F.col("len") >= LEAST_CHARS) | _words(least_words)), _bands(threshold))
-    linked = components(links).select("id.*", F.col("component").alias("class"))
+    classes = line_classes(lines.where((F.col("len") >= LEAST_CHARS) | _words(least_words)), _bands(threshold))
+    linked = classes.select("id.*", F.col("component").alias("class"))
     repeated = lines.groupBy(*name).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*name, F.struct(*name).alias("class"))
     repeated = repeated.join(linked.select(*name), name, "left_anti")
     # Lines that stand elsewhere too, or have duplicates. Joined by shuffle at every size, as these grow with the documents.
     known = stage(linked.union(repeated), "classes")
     places = stage(lines.join(known.hint("merge"), name).select("class", "first"), "places")
-    for done in (lines, links, known):
+    for done in (lines, classes, known):
         unstage(done)
     # A table of its own, so that Spark can split a class with many places in the join.
     heads = stage(places.groupBy("class").agg(F.min("first").alias("head")), "heads")

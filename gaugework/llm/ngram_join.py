@@ -348,13 +348,12 @@ def jaccard_join(documents: DataFrame, words: int = 5, percent: int = 80) -> Dat
         turn += 1
         if found.isEmpty():
             continue
-        links = kept(links.union(found), "links")
-        comps = components(links)
+        comps = components(found, known=comps)
     # Rows with one doc_id and different texts belong together.
     split = known.where("n > 0").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
     split = known.join(split.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b"))
     split = kept(split, "split")
-    final = comps if split.isEmpty() else components(links.union(split))
+    final = comps if split.isEmpty() else components(split, known=comps)
     for done in passing:
         unstage(done)
     out = known.join(final.withColumnRenamed("id", "rep"), "rep", "left")

@@ -31,6 +31,53 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_links_that_come_in_turns(spark):
+    random.seed(6)
+    edges = [(random.randrange(300), random.randrange(300)) for _ in range(240)] + [(1001 + k, 1000 + k) for k in range(40)]
+    random.shuffle(edges)
+    links, comps = brute.Links(), None
+    for part in (edges[:90], edges[90:200], [], edges[200:]):
+        for a, b in part:
+            if a != b:
+                links.join(a, b)
+        comps = common.components(spark.createDataFrame(part, "a long, b long"), known=comps)
+        assert {r.id: r.component for r in comps.collect()} == {x: links.find(x) for x in links.up}
+
+
+def test_lines_are_put_into_classes_once_a_turn(spark, monkeypatch):
+    calls, made = [], common.components
+    monkeypatch.setattr(line_dedup, "components", lambda *a, **k: calls.append(k.get("known")) or made(*a, **k))
+    long = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, f"{long}\nalpha beta gamma delta epsilon"), (2, f"{long}s\nother words that stand here alone"), (3, f"{long}ss")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {1: f"{long}\nalpha beta gamma delta epsilon", 2: "other words that stand here alone", 3: ""}
+    assert 1 <= len(calls) <= 3 and all(k is not None for k in calls[1:])
+
+
+def test_a_grown_heap_is_collected_when_a_table_is_written(spark, monkeypatch):
+    class Runtime:
+        total, collected = 0, 0
+        totalMemory, maxMemory = lambda self: self.total, lambda self: 1000
+
+        def gc(self):
+            self.collected += 1
+
+    class Session:
+        sparkContext = _jvm = java = lang = property(lambda self: self)
+        Runtime = property(lambda self: self)
+        getRuntime = lambda self: one
+
+    one = Runtime()
+    for total, collected in ((400, 0), (600, 1), (1000, 2)):
+        one.total = total
+        common.tidy_driver(Session())
+        assert one.collected == collected
+    seen = []
+    monkeypatch.setattr(common, "tidy_driver", seen.append)
+    common.stage(spark.range(3), "three")
+    assert seen == [spark]
+
+
 def test_near_vectors_equal_brute_force(spark):
     random_ = np.random.default_rng(3)
     base = random_.standard_normal((300, 24))
