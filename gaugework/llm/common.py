@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,12 +73,46 @@ def tidy_driver(spark: SparkSession) -> None:
         runtime.gc()
 
 
+_untrimmed: set[str] = set()
+
+
+def trim_driver(spark: SparkSession) -> bool:
+    """Have the driver's JVM give what its native code has freed back to the system; whether it could.
+
+    Compression, the compiler and the network allocate outside the heap, in as many arenas as there are
+    busy threads, and malloc keeps what they free. JVMs from 17 on have a command for that, on glibc; it
+    takes some hundredths of a second. Others keep it.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _untrimmed:
+        return False
+    jvm = context._jvm
+
+    def array(kind, *values):
+        out = context._gateway.new_array(kind, len(values))
+        for k, value in enumerate(values):
+            out[k] = value
+        return out
+
+    try:
+        # By reflection on the interface, as the server's own class is in no exported package.
+        kinds = ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")
+        invoke = jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", array(jvm.java.lang.Class, *map(jvm.java.lang.Class.forName, kinds)))
+        commands = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), array(jvm.java.lang.Object, commands, "systemTrimNativeHeap", None, None))
+    except Py4JError:
+        _untrimmed.add(context.applicationId)
+        return False
+    return True
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a frame as a table in the shared folder and read it back, which cuts the lineage durably."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     tidy_driver(spark)
+    trim_driver(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
@@ -105,9 +140,12 @@ def among(rows: DataFrame, key: str, ids: DataFrame, id_: str) -> DataFrame:
     return marked.join(F.broadcast(bits), "filter_bucket").where(byte.bitwiseAND(F.expr("shiftleft(1, cast(filter_at % 8 as int))")) != 0).select(*rows.columns)
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.hash("u", "v").cast("long"))).first()
-    return tuple(row)
+def _stars(links: DataFrame) -> bool:
+    """Whether each node u has one smaller neighbour v, which has no smaller one itself and so is the least of its component."""
+    end = lambda name, up: F.struct(F.col(name).alias("id"), F.lit(up).alias("up"), F.lit(1 - up).alias("down"))
+    ends = links.select(F.explode(F.array(end("u", 1), end("v", 0))).alias("e"))
+    nodes = ends.groupBy("e.id").agg(F.sum("e.up").alias("up"), F.max("e.down").alias("down"))
+    return nodes.agg(F.count_if(F.expr("up > 1 or (up = 1 and down = 1)"))).first()[0] == 0
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", known: DataFrame | None = None) -> DataFrame:
@@ -116,10 +154,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", known: DataFrame |
     known: the components of further links, as this gives them; so links that come in turns are added
     to stars, which take fewer rounds than all links anew. It is removed in the end.
 
-    Alternating large-star and small-star rounds: every round is two aggregations and two joins on
-    node ids and the number of rounds grows with the logarithm of the size, so nothing is ever
-    gathered on the driver. Each round is written to the shared folder. Nodes without a link, null
-    ends and self links give no row; repeated links count once.
+    Alternating large-star and small-star rounds until only stars are left: every round is two
+    aggregations and two joins on node ids and the number of rounds grows with the logarithm of the
+    size, so nothing is ever gathered on the driver. Each round is written to the shared folder. Nodes
+    without a link, null ends and self links give no row; repeated links count once.
     """
     u, v = F.col(a), F.col(b)
     given = edges.where(u.isNotNull() & v.isNotNull() & (u != v)).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
@@ -128,19 +166,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", known: DataFrame |
     now = stage(given.distinct(), "links")
     if known is not None:
         unstage(known)
-    mark = _mark(now)
-    while mark[0]:
+    while not _stars(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         then = stage(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
-        before, mark = mark, _mark(then)
         unstage(now)
         now = then
-        if mark == before:
-            break
     out = now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
     out._staged_at = now._staged_at
     return out

@@ -44,6 +44,15 @@ def test_components_of_links_that_come_in_turns(spark):
         assert {r.id: r.component for r in comps.collect()} == {x: links.find(x) for x in links.up}
 
 
+def test_stars_are_components_without_a_round(spark, monkeypatch):
+    made, stage = [], common.stage
+    monkeypatch.setattr(common, "stage", lambda df, name: made.append(name) or stage(df, name))
+    for edges, tables in (([(3, 1), (1, 5), (9, 8), (3, 1)], 1), ([], 1), ([(2, 1), (3, 2)], 2), ([(3, 1), (3, 2)], 2)):
+        made.clear()
+        got = {r.id: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == ({1: 1, 3: 1, 5: 1, 8: 8, 9: 8} if len(edges) == 4 else {x: 1 for e in edges for x in e}) and len(made) == tables
+
+
 def test_lines_are_put_into_classes_once_a_turn(spark, monkeypatch):
     calls, made = [], common.components
     monkeypatch.setattr(line_dedup, "components", lambda *a, **k: calls.append(k.get("known")) or made(*a, **k))
@@ -78,6 +87,15 @@ def test_a_grown_heap_is_collected_when_a_table_is_written(spark, monkeypatch):
     assert seen == [spark]
 
 
+def test_native_memory_is_given_back_when_a_table_is_written(spark, monkeypatch):
+    # As far as this JVM has the command; without it nothing is tried again.
+    assert common.trim_driver(spark) == (spark.sparkContext.applicationId not in common._untrimmed)
+    seen = []
+    monkeypatch.setattr(common, "trim_driver", seen.append)
+    common.stage(spark.range(3), "three")
+    assert seen == [spark]
+
+
 def test_near_vectors_equal_brute_force(spark):
     random_ = np.random.default_rng(3)
     base = random_.standard_normal((300, 24))
